@@ -76,7 +76,7 @@ BASE = np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = []
 
 
-def _ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
+def ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse modulo 2 to the 64."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, 1 << 20)
@@ -110,7 +110,7 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
     begins[edge] = solid[edge]
     ends[edge - 1] = solid[edge - 1]
     first, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _ladder(len(held))
+    up, down = ladder(len(held))
     sums = np.zeros(len(held) + 1, np.uint64)
     np.cumsum((LOWERED if lower else BYTES)[held] * up, out=sums[1:])
     return mix((sums[end] - sums[first]) * down[first]), np.searchsorted(first, at), first, end

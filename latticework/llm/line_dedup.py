@@ -43,7 +43,7 @@ def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
     rest = local.where("id = first").select("h1", "h2", "id", "digest", "pos").repartitionByRange("h1", "h2").withColumn("first", first("h1", "h2"))
     lost = local.where("id > first").select("id", "digest", "pos").union(rest.where("id > first").select("id", "digest", "pos"))
     word = F.floor(F.col("pos") / BITS).alias("word")
-    bits = F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("pos") % BITS))
+    bits = F.expr(f"bit_or(shiftleft(1L, cast(pos % {BITS} as int)))")
     packed = lost.groupBy("id", "digest", word).agg(F.bitwise_not(bits).alias("bits"))
     return packed.groupBy("id", "digest").agg(F.collect_list(F.struct("word", "bits")).alias("keep"))
 
