@@ -79,8 +79,8 @@ _powers: list[np.ndarray] = []
 def ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse modulo 2 to the 64."""
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)])) for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))]
+        most = max(n, 1 << 20)
+        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(most - 1, x, np.uint64)])) for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))]
     return _powers[0][:n], _powers[1][:n]
 
 

@@ -2,10 +2,10 @@
 
 One-permutation hashing fills BINS bins with the smallest hash of a document's shingles in each; empty
 bins borrow from a filled one along a fixed random order of their own (optimal densification). Bands of
-ROWS bins name buckets. In a bucket one hub is compared with the others (a star), never all with all:
-the links that are confirmed on the full sets make components, and a bucket that still holds several
-components goes on to the next stars without the hubs it has had, until every bucket is in one component
-or has run out of hubs. No bucket is capped, and no link between two of its members is lost.
+ROWS bins name buckets. In a bucket a hub is held against the others (a star), never all against all, and
+a document is tried with the hub that it shares most buckets with. Pairs whose signatures agree too
+little for the threshold leave; the others are confirmed on their full sets, and the links make components. Buckets
+that still hold several components go on with other hubs until two rounds on end confirm nothing new.
 """
 
 from __future__ import annotations
@@ -21,15 +21,19 @@ from pyspark.sql import functions as F
 from latticework.llm.common import MULT, mix, pieces, rolled, words, written
 from latticework.llm.components import components
 
-BINS, ROWS = 128, 4
+BINS, ROWS = 160, 5
 BANDS = BINS // ROWS
-#: Stars of a bucket in one round after the first.
-STARS = 16
+#: Hubs of a bucket in a round after the first, and hubs that a document is tried with in one.
+STARS = 4
+#: Bins of BINS in which the signatures of a pair agree at least; at a similarity of 0.75 fewer agree in one of ten million pairs.
+AGREE = 92
+#: Pairs that are broadcast; 16 bytes each.
+FEW_PAIRS = 100_000
 _rng = np.random.default_rng(20240229)
 #: For each bin the order in which it looks for a filled one.
 PROBES = np.stack([_rng.permutation(BINS) for _ in range(BINS)])
 SALTS = _rng.integers(1, 1 << 63, BANDS).astype(np.uint64)
-SKETCH = "doc_id long, n long, set_key binary, buckets array<long>"
+SKETCH = "doc_id long, n long, set_key binary, buckets array<long>, signature binary"
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
@@ -48,7 +52,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
 
 def signature(own: np.ndarray) -> np.ndarray:
     """BINS values of a sorted, non-empty set."""
-    bins = (own >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    bins = (((own >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
     filled, values = np.zeros(BINS, bool), np.empty(BINS, np.uint64)
     filled[bins[first]], values[bins[first]] = True, own[first]
@@ -74,12 +78,14 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = [i for i, s in enumerate(sets) if len(s)]
         keys = [mix(np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + MULT)) + np.uint64(len(s))])).tobytes() if len(s) else None for s in sets]
         named: list = [None] * len(sets)
+        short: list = [None] * len(sets)
         if full:
-            for i, b in zip(full, buckets(np.stack([signature(sets[i]) for i in full]))):
-                named[i] = b
+            signed = np.stack([signature(sets[i]) for i in full])
+            for i, b, s in zip(full, buckets(signed), mix(signed).astype(np.uint8)):
+                named[i], short[i] = b, s.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(named, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "set_key", "buckets"],
+            [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(named, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+            names=["doc_id", "n", "set_key", "buckets", "signature"],
         )
 
 
@@ -104,15 +110,46 @@ def linked(percent: int):
     return confirm
 
 
+def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("one", "two"))
+            mask = pa.array((one == two).sum(axis=1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column("hub").filter(mask), batch.column("doc").filter(mask)], names=["hub", "doc"])
+
+
+def confirmed(pairs: DataFrame, signatures: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, doc) that are links."""
+    pairs = pairs.join(signatures.select(F.col("id").alias("i"), F.col("signature").alias("one")), F.col("hub") == F.col("i")).select("hub", "doc", "one")
+    pairs = pairs.join(signatures.select(F.col("id").alias("i"), F.col("signature").alias("two")), F.col("doc") == F.col("i")).select("hub", "doc", "one", "two")
+    pairs = written(pairs.mapInArrow(agreeing, "hub long, doc long").distinct(), "likely")
+    few = pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
+    if few:
+        # The texts of a bounded number of pairs are picked out where they are read.
+        texts = source.join(F.broadcast(pairs.select(F.explode(F.array("hub", "doc")).alias("a")).distinct()), F.col("doc_id") == F.col("a"), "left_semi")
+    else:
+        texts = source
+    one, two = (texts.select(F.col("doc_id").alias("i"), F.col("text").alias(y)) for y in ("text", "hub_text"))
+    both = pairs.join(one, F.col("doc") == F.col("i")).select("hub", "doc", "text").join(two, F.col("hub") == F.col("i")).select("hub", "doc", "text", "hub_text")
+    return written(both.mapInArrow(linked(percent), "hub long, doc long").distinct(), "found")
+
+
+def best_hubs(meetings: DataFrame, most: int) -> DataFrame:
+    """Of meetings (hub, doc, a row for each shared bucket) the `most` hubs of a doc that it meets most often."""
+    met = meetings.groupBy("hub", "doc").agg(F.count("*").alias("n"))
+    slot = F.pmod(F.xxhash64("hub"), F.lit(most))
+    return met.groupBy("doc", slot.alias("slot")).agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "doc")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id long, text string).
 
     Two documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id
-    is the smallest doc_id that links reach and kept tells whether it is the row's own. Null and empty
-    texts and those without words have no shingles and link with nothing. Rows that share a doc_id are one
-    document with several texts. A null doc_id is linked with nothing: component_id is null, kept true.
-    Other columns are ignored. percent must be 75 or more for the bands' recall (at 75: all but 5 in a
-    million pairs; closer pairs fewer). Work: one sketch of 32 buckets a document, one shuffle of texts.
+    is the smallest doc_id that links reach and kept tells whether it is the row's own. Equal sets are one
+    node, so that copies cost nothing. Null and empty texts and those without words have no shingles and link
+    with nothing. Rows that share a doc_id are one document with several texts. A null doc_id is linked with
+    nothing: component_id is null, kept true. Other columns are ignored. percent must be 75 or more for the
+    bands' recall (a pair at 75 meets in no bucket with a chance of 2 in 10 000, one at 80 of 3 in a million).
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = written(source.mapInArrow(sketches, SKETCH), "sketch")
@@ -123,43 +160,42 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     placed = nodes.select(F.col("doc_id").alias("doc"), F.explode("buckets").alias("bucket"))
     shared = written(placed.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("size")).where("lo < hi").select(F.col("bucket").alias("b"), "size"), "buckets")
     members = written(placed.join(shared, F.col("bucket") == F.col("b")).select("bucket", "doc", "size"), "members")
-    asked = members.select(F.col("doc").alias("c_id")).distinct()
-    texts = written(
-        source.join(reps.join(asked, F.col("rep") == F.col("c_id"), "left_semi").select(F.col("rep").alias("r_id")).distinct(), F.col("doc_id") == F.col("r_id"), "left_semi"), "candidates"
-    )
-    # The first star of a bucket is that of the document that meets most others in its buckets.
-    weight = members.groupBy(F.col("doc").alias("w_doc")).agg(F.sum("size").alias("weight"))
+    # The first hub of a bucket is the document that meets most others in its buckets.
+    weight = written(members.groupBy(F.col("doc").alias("w_doc")).agg(F.sum("size").alias("weight")), "weights")
+    signatures = written(nodes.join(weight, F.col("doc_id") == F.col("w_doc"), "left_semi").select(F.col("doc_id").alias("id"), "signature"), "signatures")
     best = members.join(weight, F.col("doc") == F.col("w_doc")).groupBy(F.col("bucket").alias("b")).agg(F.max(F.struct("weight", (-F.col("doc")).alias("neg"))).alias("best"))
     hubs = written(best.select("b", (-F.col("best.neg")).alias("hub")), "hubs")
+    meetings = members.join(hubs, F.col("bucket") == F.col("b")).where("doc <> hub").select("hub", "doc")
     members = members.select("bucket", "doc")
-    pairs = members.join(hubs, F.col("bucket") == F.col("b")).where("doc <> hub")
     links = tried = label = None
+    idle = turn = 0
     while True:
-        pairs = written(pairs.select(F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc")).distinct(), "pairs")
-        one, two = (texts.select(F.col("doc_id").alias(f"{x}_id"), F.col("text").alias(y)) for x, y in (("d", "text"), ("h", "hub_text")))
-        both = pairs.join(one, F.col("doc") == F.col("d_id")).select("hub", "doc", "text").join(two, F.col("hub") == F.col("h_id")).select("hub", "doc", "text", "hub_text")
-        found = written(both.mapInArrow(linked(percent), "hub long, doc long"), "found")
-        links = found if links is None else links.union(found)
+        pairs = best_hubs(meetings, STARS if turn else 1)
+        if tried is not None:
+            known = tried.select(F.col("hub").alias("t_hub"), F.col("doc").alias("t_doc"))
+            pairs = pairs.join(known, (F.col("hub") == F.col("t_hub")) & (F.col("doc") == F.col("t_doc")), "left_anti")
+        pairs = written(pairs, "pairs")
+        found = confirmed(pairs, signatures, source, percent)
         tried = pairs if tried is None else tried.union(pairs)
         if label is None or not found.isEmpty():
+            links, idle = found if links is None else links.union(found), 0
             label = components(links, "hub", "doc")
-        # A hub has been held against all that its bucket holds; what is left of the bucket goes on while it is in several components.
-        members = members.join(hubs.withColumnRenamed("hub", "done"), (F.col("bucket") == F.col("b")) & (F.col("doc") == F.col("done")), "left_anti")
-        marked = written(members.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component")), "marked")
-        split = marked.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("b")
-        marked = written(marked.join(split, F.col("bucket") == F.col("b"), "left_semi"), "open")
-        if marked.isEmpty():
+        else:
+            idle += 1
+        marked = members.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+        parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc")).alias("some"))
+        split = parts.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("kinds"), F.max(F.struct("size", "component", "some")).alias("main")).where("kinds > 1")
+        main = written(split.select("b", F.col("main.component").alias("main"), F.col("main.some.doc").alias("hub")), "open")
+        if idle == 2 or main.isEmpty():
             break
-        # The next hubs of a bucket, STARS at most, are of its smallest components.
-        parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.min("doc").alias("hub"))
-        dealt = parts.groupBy(F.col("bucket").alias("b"), F.pmod(F.xxhash64("component"), F.lit(STARS)).alias("slot"))
-        hubs = written(dealt.agg(F.min(F.struct("size", "hub", "component")).alias("least")).select("b", F.col("least.hub").alias("hub"), F.col("least.component").alias("own")), "hubs")
-        members = marked.select("bucket", "doc")
-        pairs = marked.join(hubs, F.col("bucket") == F.col("b")).where("component <> own")
-        pairs = pairs.select(F.least("hub", "doc").alias("hub"), F.greatest("hub", "doc").alias("doc")).distinct()
-        known = tried.select(F.col("hub").alias("t_hub"), F.col("doc").alias("t_doc"))
-        pairs = pairs.join(known, (F.col("hub") == F.col("t_hub")) & (F.col("doc") == F.col("t_doc")), "left_anti")
-        hubs = hubs.select("b", "hub")
+        # Those outside a bucket's largest component go on: with one of it, and with each other.
+        strays = written(marked.join(main, F.col("bucket") == F.col("b")).where("component <> main").select("bucket", "doc", "component", F.col("hub").alias("other")), "strays")
+        slots = strays.groupBy(F.col("bucket").alias("b"), F.pmod(F.xxhash64("component"), F.lit(STARS)).alias("slot"))
+        stars = written(slots.agg(F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc", "component")).alias("some")).select("b", F.col("some.doc").alias("hub"), F.col("some.component").alias("own")), "stars")
+        among = strays.join(stars, F.col("bucket") == F.col("b")).where("component <> own").select("hub", "doc")
+        meetings = strays.select(F.col("other").alias("hub"), "doc").union(among)
+        members = written(members.join(main, F.col("bucket") == F.col("b"), "left_semi"), "members")
+        turn += 1
     named = written(reps.join(label, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("r_key"), F.coalesce("component", "rep").alias("component_id")), "named")
     out = sketch.select("doc_id", "n", "set_key").join(named, F.col("set_key") == F.col("r_key"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
