@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES, and ORACLES for those that SQL can express.
-MODULES = ("q_near_dedup", "q_line_dedup", "q_substring_dedup", "q_packing", "q_quality", "q_lang_id", "q_decontamination")
+MODULES = ("q_near_dedup", "q_line_dedup", "q_substring_dedup", "q_packing", "q_html_text", "q_quality", "q_toxicity", "q_lang_id", "q_warc", "q_decontamination")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
