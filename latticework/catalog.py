@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from latticework.plans import queries_data, queries_models
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+FLAGSHIP = queries_models.metrics_by_fold
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return queries_data.Q | queries_models.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return queries_data.S | queries_models.S
