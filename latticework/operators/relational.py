@@ -20,7 +20,7 @@ def project_prefix(df: DataFrame, *prefixes: str) -> DataFrame:
 
 def drop_nulls(df: DataFrame, *prefixes: str) -> DataFrame:
     """Rows with no null or NaN in any column that begins with one of the prefixes."""
-    subset = [c for p in prefixes for c in prefixed(df, p)]
+    subset = [f"`{c}`" for p in prefixes for c in prefixed(df, p)]
     return df.na.drop(how="any", subset=subset) if subset else df
 
 

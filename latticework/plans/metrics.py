@@ -84,7 +84,7 @@ def adversarial(a: DataFrame, b: DataFrame, features: list[str], key: str, k: in
     folds = fold_stratified(labelled_union(a, b).withColumn("__k", F.concat_ws("#", "label", key)), "__k", "label", k, seed).cache()
     scores, gain = [], [0.0] * len(features)
     for i in range(k):
-        model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=20, seed=seed)]).fit(folds.where(F.col("fold") != i))
+        model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__features"), RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=20, seed=seed)]).fit(folds.where(F.col("fold") != i))
         scores.append(BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(folds.where(F.col("fold") == i))))
         gain = [g + float(x) / k for g, x in zip(gain, model.stages[-1].featureImportances.toArray())]
     folds.unpersist()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,20 +66,24 @@ def parse_cif(text: str) -> dict:
     return {**{c: cell[c] for c in CELL}, "sites": sites}
 
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for d in batches:
+SITE = pa.struct([("symbol", pa.string()), ("label", pa.string()), *[(c, pa.float64()) for c in ("fx", "fy", "fz", "charge", "occupancy")]])
+ARROW = pa.schema([("struct_id", pa.string()), *[(c, pa.float64()) for c in CELL], ("sites", pa.list_(SITE)), ("_error", pa.string())])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         rows = []
-        for name, text in zip(d["name"], d["text"]):
+        for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
             try:
-                rows.append({"struct_id": name, **parse_cif(text), "_error": None})
+                rows.append({"struct_id": name, **parse_cif(text)})
             except (ValueError, KeyError) as e:
-                rows.append({"struct_id": name, **dict.fromkeys(CELL), "sites": None, "_error": str(e)})
-        yield pd.DataFrame(rows, columns=["struct_id", *CELL, "sites", "_error"])
+                rows.append({"struct_id": name, "_error": str(e)})
+        yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
 
 def read_cif(spark: SparkSession, path: str, glob: str = "*.cif") -> tuple[DataFrame, DataFrame]:
     """(structures, sites) of the CIF files below path. A file that can't be parsed is a structure with _error and no sites."""
-    found = whole_files(spark, path, glob).mapInPandas(_parsed, PARSED)
+    found = whole_files(spark, path, glob).mapInArrow(_parsed, PARSED)
     structures = found.select("struct_id", *CELL, F.when(F.col("a").isNotNull(), lattice_vectors(*[F.col(c) for c in CELL])).alias("lattice"), "_error")
     sites = found.select("struct_id", lattice_vectors(*[F.col(c) for c in CELL]).alias("l"), F.posexplode("sites").alias("site_id", "s"))
     cart = [sum((F.col(f"s.f{x}") * F.col("l")[r][i] for r, x in enumerate("xyz")), F.lit(0.0)).alias(x) for i, x in enumerate("xyz")]

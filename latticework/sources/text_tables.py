@@ -16,7 +16,7 @@ POSITIONAL = ("lis", "lifs", "lifsp")
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(name, text) of every file below path, name without its ending."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    read = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return read.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("name"), F.col("value").alias("text"))
 
 
@@ -28,7 +28,7 @@ def parse_grid(lines: DataFrame, text: str = "value", keep: tuple[str, ...] = ()
 
 def read_grids(spark: SparkSession, path: str, glob: str = "*.grid") -> DataFrame:
     """The grids below path with the site's name, taken from the file's."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=glob)
     return parse_grid(lines.withColumn("site", F.regexp_extract("_metadata.file_name", r"^asci_grid_(.*)\.grid$", 1)), "value", ("site",))
 
 
