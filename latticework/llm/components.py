@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import written
 
+#: Links up to which one task follows them all; 16 bytes each.
+FEW_LINKS = 200_000
+
+
+def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a bounded number of links."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for hi, lo in zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist()):
+            x, y = root(up.setdefault(hi, hi)), root(up.setdefault(lo, lo))
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], names=["node", "component"])
+
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW_LINKS) -> DataFrame:
     """(node, component) for every id in a link; component is the smallest id that can be reached.
 
     Each round hooks every id under its smallest neighbour, flattens the trees by pointer jumping, and
     contracts the graph to the roots, until no link is left. Rounds grow with the logarithm of the
     longest path. Every aggregate is combined before its shuffle, so a hub's links don't meet in one task.
+    Up to `few` links are followed in one task instead, with the same result.
     Null ids and loops link nothing. An empty input gives an empty result.
     """
     left = written(
         links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"{a} is not null and {b} is not null and hi <> lo").distinct(),
         "links",
     )
+    if left.limit(few + 1).count() <= few:
+        return written(left.coalesce(1).mapInArrow(followed, "node long, component long"), "nodes")
     nodes = written(left.select(F.col("hi").alias("node")).union(left.select("lo")).distinct().select("node", F.col("node").alias("component")), "nodes")
     while not left.isEmpty():
         up = written(left.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("root")), "hooks")

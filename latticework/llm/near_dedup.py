@@ -5,7 +5,7 @@ bins borrow from a filled one along a fixed random order of their own (optimal d
 ROWS bins name buckets. In a bucket a hub is held against the others (a star), never all against all, and
 a document is tried with the hub that it shares most buckets with. Pairs whose signatures agree too
 little for the threshold leave; the others are confirmed on their full sets, and the links make components. Buckets
-that still hold several components go on with other hubs until two rounds on end confirm nothing new.
+that still hold several components go on with other hubs until a round confirms nothing new.
 """
 
 from __future__ import annotations
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     meetings = members.join(hubs, F.col("bucket") == F.col("b")).where("doc <> hub").select("hub", "doc")
     members = members.select("bucket", "doc")
     links = tried = label = None
-    idle = turn = 0
+    turn = 0
     while True:
         pairs = best_hubs(meetings, STARS if turn else 1)
         if tried is not None:
@@ -178,15 +178,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         found = confirmed(pairs, signatures, source, percent)
         tried = pairs if tried is None else tried.union(pairs)
         if label is None or not found.isEmpty():
-            links, idle = found if links is None else links.union(found), 0
+            links = found if links is None else links.union(found)
             label = components(links, "hub", "doc")
-        else:
-            idle += 1
+        elif turn:
+            break
         marked = members.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
         parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc")).alias("some"))
         split = parts.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("kinds"), F.max(F.struct("size", "component", "some")).alias("main")).where("kinds > 1")
         main = written(split.select("b", F.col("main.component").alias("main"), F.col("main.some.doc").alias("hub")), "open")
-        if idle == 2 or main.isEmpty():
+        if main.isEmpty():
             break
         # Those outside a bucket's largest component go on: with one of it, and with each other.
         strays = written(marked.join(main, F.col("bucket") == F.col("b")).where("component <> main").select("bucket", "doc", "component", F.col("hub").alias("other")), "strays")
