@@ -60,6 +60,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             at = to
 
 
+def unused(columns: list[str], start: str = "__") -> str:
+    """A beginning that no column's name has, for columns that come and go."""
+    while any(c.lower().startswith(start) for c in columns):
+        start += "_"
+    return start
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * MIX1

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import MULT, pieces
+from latticework.llm.common import MULT, pieces, unused
 
 Q = 8
 #: Edits for each hundred characters of an item.
@@ -181,5 +181,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT_PERCENT) -> DataFrame:
     """The rows of docs that hold no item; rows of a doc_id go together, those without one stay."""
-    bad = contaminated(docs, benchmark, edit_percent).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    name = unused(docs.columns) + "bad"
+    bad = contaminated(docs, benchmark, edit_percent).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(name), "left_anti")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.common import SPACES
+from latticework.llm.common import SPACES, unused
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Lines of one word of a bitmap.
@@ -57,13 +57,14 @@ def drop_repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     that share a doc_id are one document. Rows without doc_id are left alone and hold no line. Other
     columns pass through; columns named n_lines and n_dropped are replaced.
     """
-    gone = keep_bitmaps(docs, least).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.map_from_entries("keep").alias("__keep"))
+    p = unused(docs.columns)
+    gone = keep_bitmaps(docs, least).select(F.col("id").alias(p + "id"), F.col("digest").alias(p + "digest"), F.map_from_entries("keep").alias(p + "keep"))
     own = docs.drop("n_lines", "n_dropped")
-    both = own.withColumn("__own", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
-    both = both.withColumn("__lines", split_lines(F.col("text")))
+    both = own.withColumn(p + "own", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col(p + "id")) & (F.col(p + "own") == F.col(p + "digest")), "left")
+    both = both.withColumn(p + "lines", split_lines(F.col("text")))
     # filter() numbers from 0; a word that the map lacks keeps its lines.
-    kept = F.filter("__lines", lambda x, i: F.coalesce(F.getbit(F.try_element_at("__keep", F.floor(i / BITS)), i % BITS), F.lit(1)) == 1)
-    both = both.withColumn("__left", F.when(F.col("__keep").isNull(), F.col("__lines")).otherwise(kept))
-    n_lines, n_left = F.size("__lines").cast("long"), F.size("__left").cast("long")
-    names = [F.array_join("__left", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in own.columns]
+    kept = F.filter(p + "lines", lambda x, i: F.coalesce(F.getbit(F.try_element_at(p + "keep", F.floor(i / BITS)), i % BITS), F.lit(1)) == 1)
+    both = both.withColumn(p + "left", F.when(F.col(p + "keep").isNull(), F.col(p + "lines")).otherwise(kept))
+    n_lines, n_left = F.size(p + "lines").cast("long"), F.size(p + "left").cast("long")
+    names = [F.array_join(p + "left", "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in own.columns]
     return both.select(*names, n_lines.alias("n_lines"), (n_lines - n_left).alias("n_dropped"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import SPACES
+from latticework.llm.common import SPACES, unused
 
 SYMBOLS = "#*$%&|<>"
 GAP = r"[\x20\x09-\x0D]+"
@@ -60,32 +60,33 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "clean_text")
     own = docs.drop(*new)
+    p = unused(own.columns)
     names = [F.col(f"`{c}`") for c in own.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = own.select(*names, F.filter(F.split(text, GAP), lambda w: w != "").alias("__w"), F.split(text, "\n", -1).alias("__lines"))
-    n = F.size("__w")
-    window = lambda i: F.xxhash64(*[F.get(F.col("__w"), i + j) for j in range(WINDOW)])
-    some = some.withColumn("__g", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)))
-    paired = F.array_sort(F.transform("__g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    some = some.withColumn("__s", F.when(F.size(F.array_distinct("__g")) < F.size("__g"), paired))
-    same = lambda x, j: F.get(F.col("__s"), j).getField("g") == x.getField("g")
-    twice = F.filter("__s", lambda x, j: F.coalesce(same(x, j - 1), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False)))
-    some = some.withColumn("__d", F.array_sort(F.transform(twice, lambda x: x.getField("i"))))
+    some = own.select(*names, F.filter(F.split(text, GAP), lambda w: w != "").alias(p + "w"), F.split(text, "\n", -1).alias(p + "lines"))
+    n = F.size(p + "w")
+    window = lambda i: F.xxhash64(*[F.get(F.col(p + "w"), i + j) for j in range(WINDOW)])
+    some = some.withColumn(p + "g", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)))
+    paired = F.array_sort(F.transform(p + "g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    some = some.withColumn(p + "s", F.when(F.size(F.array_distinct(p + "g")) < F.size(p + "g"), paired))
+    same = lambda x, j: F.get(F.col(p + "s"), j).getField("g") == x.getField("g")
+    twice = F.filter(p + "s", lambda x, j: F.coalesce(same(x, j - 1), F.lit(False)) | F.coalesce(same(x, j + 1), F.lit(False)))
+    some = some.withColumn(p + "d", F.array_sort(F.transform(twice, lambda x: x.getField("i"))))
     # A window covers its words up to the next one's.
-    covered = F.transform("__d", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("__d"), j + 1) - x, F.lit(WINDOW))))
+    covered = F.transform(p + "d", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(p + "d"), j + 1) - x, F.lit(WINDOW))))
     repeats = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    worded = F.filter("__lines", lambda x: F.length(stripped(x, SPACES)) > 0)
-    left = F.filter("__lines", lambda x: ~line_fails(x))
+    worded = F.filter(p + "lines", lambda x: F.length(stripped(x, SPACES)) > 0)
+    left = F.filter(p + "lines", lambda x: ~line_fails(x))
     some = some.select(
         *names,
         n.cast("long").alias("n_words"),
         F.length(stripped(text, SPACES)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(stripped(text, SYMBOLS))).cast("long").alias("n_symbols"),
-        worded.alias("__worded"),
+        worded.alias(p + "worded"),
         repeats.alias("n_repeat_words"),
         F.array_join(left, "\n").alias("clean_text"),
     )
-    some = some.withColumn("n_dup_lines", (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long"))
+    some = some.withColumn("n_dup_lines", (F.size(p + "worded") - F.size(F.array_distinct(p + "worded"))).cast("long"))
     some = some.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     some = some.withColumn("lost_chars", F.col("word_chars") - F.length(stripped(F.col("clean_text"), SPACES)))
     some = some.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= LOSS_PERCENT * F.col("word_chars")))

@@ -16,7 +16,7 @@ from latticework.llm.near_dedup import near_duplicates
 from latticework.llm.packing import WordTokenizer, default_tokenizer, pack
 from latticework.llm.substring_dedup import drop_repeated_passages
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n string, bucket string, n_lines int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n string, bucket string, n_lines int, __keep int"
 
 
 def texts():
@@ -50,7 +50,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    made = [(i, t, None, None, None, "x", "y", 3) for i, t in rows] + [(None, "a text without an id, of six words", None, None, None, None, None, None)]
+    made = [(i, t, None, None, None, "x", "y", 3, 1) for i, t in rows] + [(None, "a text without an id, of six words", None, None, None, None, None, None, None)]
     return spark.createDataFrame(made, SCHEMA).repartition(5)
 
 

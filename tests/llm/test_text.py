@@ -45,7 +45,7 @@ def test_main_text():
     assert html_text.main_text(PAGE) == "The title\nOne & two three\nFour\nfive\nsix"
     assert html_text.main_text(None) == html_text.main_text("") == ""
     assert html_text.main_text("plain <i>text</i> &lt;") == "plain text <"
-    assert html_text.main_text("<p>a<!-- x > y --><p title='a>b'>c<p") == "a\nc\n<p"
+    assert html_text.main_text("<p>a<!-- x > y --><p title='a>b'>c<p") == "a\nc"
     assert html_text.main_text("<div>" * 5000 + "deep") == "deep"
     assert html_text.main_text('<div id="main-content"><p>Text</p></div><div>Other</div>') == "Text"
 
