@@ -336,3 +336,20 @@ def h0_persistence(spark, sf):
 def box_numbers(spark, sf):
     own = bench.five_numbers(t(spark, sf, "orders").select(F.col("o_orderstatus").alias("name"), "o_totalprice"), "o_totalprice")
     return own.select("name", *[F.round(F.col("box")[i], 4).alias(n) for i, n in ((0, "lo"), (2, "mid"), (4, "hi"))])
+
+
+@query("""WITH v AS (SELECT vec_id % 50 AS s, vec_id AS i, CASE WHEN label % 2 = 0 THEN 'A' ELSE 'B' END AS y, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT unnest([-1.0, 0.0, 1.0]) AS n), d AS (SELECT a.s, a.y AS ya, b.y AS yb, min(sqrt(power((b.e[1] - a.e[1] + p.n) * 4, 2) + power((b.e[2] - a.e[2] + q.n) * 4, 2) + power((b.e[3] - a.e[3] + r.n) * 4, 2))) AS d
+FROM v a JOIN v b ON a.s = b.s AND a.i < b.i, g p, g q, g r GROUP BY a.s, a.i, b.i, a.y, b.y),
+w AS (SELECT s, least(floor((d - 0.2) / 0.25), 10) AS bin, d, (CASE WHEN ya = 'A' THEN 2.0 ELSE 3.0 END) * (CASE WHEN yb = 'A' THEN 2.0 ELSE 3.0 END) AS p FROM d WHERE d < 3.0 AND d > 0.2)
+SELECT CAST(s AS VARCHAR) AS struct_id, 'aprdf_X_product_' || CAST(bin AS INTEGER) AS feature, round(sum(p * exp(-10 * power(d - (0.2 + bin * (2.8 / 10)), 2))), 6) AS value FROM w GROUP BY 1, 2""")
+def aprdf_periodic(spark, sf):
+    from latticework.operators import featurizers
+
+    e = F.col("embedding")
+    sites = t(spark, sf, "embeddings").select((F.col("vec_id") % 50).cast("string").alias("struct_id"), F.col("vec_id").alias("site_id"), F.when(F.col("label") % 2 == 0, "A").otherwise("B").alias("symbol"), *[e[i].cast("double").alias(n) for i, n in enumerate(("fx", "fy", "fz"))])
+    cell = F.array(*[F.array(*[F.lit(4.0 if i == j else 0.0) for j in range(3)]) for i in range(3)])
+    structures = sites.select("struct_id").distinct().withColumn("lattice", cell)
+    properties = spark.createDataFrame([("A", 2.0), ("B", 3.0)], "symbol string, X double")
+    out = featurizers.aprdf(structures, sites, properties, ("X",), ("product",), 3.0, 0.2, 0.25, 10.0)
+    return rounded(out.long().where("value <> 0"), 6, "value")
