@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from latticework.llm.common import SPACES, unused
 
 SYMBOLS = "#*$%&|<>"
-GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 #: Of a line's words, in percent: symbols from which it fails, and cells between bars.
 SYMBOL_PERCENT, CELL_PERCENT = 20, 20
@@ -29,17 +28,30 @@ def stripped(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def line_fails(line: Column) -> Column:
-    n = F.size(F.filter(F.split(line, GAP), lambda w: w != ""))
-    solid = F.length(stripped(line, SPACES))
-    symbols = F.length(line) - F.length(stripped(line, SYMBOLS))
-    cells = F.length(line) - F.length(stripped(line, "|"))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-    low = F.lower(line)
+def words_of(text: Column) -> Column:
+    """The maximal runs without white space."""
+    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " ", -1), "")
+
+
+def line_facts(line: Column) -> Column:
+    """What the rules ask of a line, each counted once."""
+    letters = F.regexp_replace(line, r"[^\p{L}]+", "")
+    return F.struct(
+        line.alias("line"),
+        F.size(words_of(line)).alias("n"),
+        F.length(stripped(line, SPACES)).alias("solid"),
+        (F.length(line) - F.length(stripped(line, SYMBOLS))).alias("symbols"),
+        (F.length(line) - F.length(stripped(line, "|"))).alias("cells"),
+        F.length(letters).alias("letters"),
+        F.length(F.regexp_replace(line, r"[^\p{Lu}]+", "")).alias("capitals"),
+    )
+
+
+def line_fails(facts: Column) -> Column:
+    n, solid, symbols, cells, letters, capitals = (facts.getField(f) for f in ("n", "solid", "symbols", "cells", "letters", "capitals"))
     stock = F.lit(False)
     for phrase in STOCK:
-        stock |= F.contains(low, F.lit(phrase))
+        stock |= F.contains(F.lower(facts.getField("line")), F.lit(phrase))
     return (
         (100 * symbols > SYMBOL_PERCENT * n)
         | (100 * cells > CELL_PERCENT * n)
@@ -63,7 +75,7 @@ def judged(docs: DataFrame) -> DataFrame:
     p = unused(own.columns)
     names = [F.col(f"`{c}`") for c in own.columns]
     text = F.coalesce(F.col("text"), F.lit(""))
-    some = own.select(*names, F.filter(F.split(text, GAP), lambda w: w != "").alias(p + "w"), F.split(text, "\n", -1).alias(p + "lines"))
+    some = own.select(*names, words_of(text).alias(p + "w"), F.split(text, "\n", -1).alias(p + "lines"))
     n = F.size(p + "w")
     window = lambda i: F.xxhash64(*[F.get(F.col(p + "w"), i + j) for j in range(WINDOW)])
     some = some.withColumn(p + "g", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)))
@@ -76,7 +88,7 @@ def judged(docs: DataFrame) -> DataFrame:
     covered = F.transform(p + "d", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(p + "d"), j + 1) - x, F.lit(WINDOW))))
     repeats = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
     worded = F.filter(p + "lines", lambda x: F.length(stripped(x, SPACES)) > 0)
-    left = F.filter(p + "lines", lambda x: ~line_fails(x))
+    left = F.transform(F.filter(F.transform(p + "lines", line_facts), lambda x: ~line_fails(x)), lambda x: x.getField("line"))
     some = some.select(
         *names,
         n.cast("long").alias("n_words"),
