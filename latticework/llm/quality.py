@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import SPACES, unused
+from latticework.llm.common import unused
 
-SYMBOLS = "#*$%&|<>"
+GAP, WORD, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+", "[#*$%&|<>]"
 WINDOW = 5
 #: Of a line's words, in percent: symbols from which it fails, and cells between bars.
 SYMBOL_PERCENT, CELL_PERCENT = 20, 20
@@ -24,39 +24,39 @@ STOCK = ("skip to content", "all rights reserved", "cookie policy", "privacy pol
 STOCK_WORDS = 12
 
 
-def stripped(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def words_of(text: Column) -> Column:
     """The maximal runs without white space."""
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " ", -1), "")
+    return F.array_remove(F.split(text, GAP, -1), "")
+
+
+def solid(text: Column) -> Column:
+    """The code points that aren't white space."""
+    return F.length(F.regexp_replace(text, GAP, ""))
 
 
 def line_facts(line: Column) -> Column:
-    """What the rules ask of a line, each counted once."""
-    letters = F.regexp_replace(line, r"[^\p{L}]+", "")
+    """What the rules ask of a line, each counted once. Patterns scan a text faster here than translate() does."""
     return F.struct(
         line.alias("line"),
-        F.size(words_of(line)).alias("n"),
-        F.length(stripped(line, SPACES)).alias("solid"),
-        (F.length(line) - F.length(stripped(line, SYMBOLS))).alias("symbols"),
-        (F.length(line) - F.length(stripped(line, "|"))).alias("cells"),
-        F.length(letters).alias("letters"),
-        F.length(F.regexp_replace(line, r"[^\p{Lu}]+", "")).alias("capitals"),
+        F.lower(line).alias("low"),
+        F.regexp_count(line, F.lit(WORD)).alias("n"),
+        F.regexp_count(line, F.lit(SYMBOL)).alias("symbols"),
+        (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))).alias("cells"),
+        F.length(F.regexp_replace(line, r"[^\p{L}]+", "")).alias("letters"),
+        F.regexp_count(line, F.lit(r"\p{Lu}")).alias("capitals"),
     )
 
 
 def line_fails(facts: Column) -> Column:
-    n, solid, symbols, cells, letters, capitals = (facts.getField(f) for f in ("n", "solid", "symbols", "cells", "letters", "capitals"))
+    n, symbols, cells, letters, capitals = (facts.getField(f) for f in ("n", "symbols", "cells", "letters", "capitals"))
     stock = F.lit(False)
     for phrase in STOCK:
-        stock |= F.contains(F.lower(facts.getField("line")), F.lit(phrase))
+        stock |= F.contains(facts.getField("low"), F.lit(phrase))
     return (
         (100 * symbols > SYMBOL_PERCENT * n)
         | (100 * cells > CELL_PERCENT * n)
         | ((letters >= CAPITAL_LEAST) & (100 * capitals > CAPITAL_PERCENT * letters))
-        | ((solid > 0) & (letters == 0))
+        | ((n > 0) & (letters == 0))
         | ((n <= STOCK_WORDS) & stock)
     )
 
@@ -87,19 +87,19 @@ def judged(docs: DataFrame) -> DataFrame:
     # A window covers its words up to the next one's.
     covered = F.transform(p + "d", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(p + "d"), j + 1) - x, F.lit(WINDOW))))
     repeats = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    worded = F.filter(p + "lines", lambda x: F.length(stripped(x, SPACES)) > 0)
+    worded = F.filter(p + "lines", lambda x: F.rlike(x, F.lit(WORD)))
     left = F.transform(F.filter(F.transform(p + "lines", line_facts), lambda x: ~line_fails(x)), lambda x: x.getField("line"))
     some = some.select(
         *names,
         n.cast("long").alias("n_words"),
-        F.length(stripped(text, SPACES)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(stripped(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join(p + "w", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         worded.alias(p + "worded"),
         repeats.alias("n_repeat_words"),
         F.array_join(left, "\n").alias("clean_text"),
     )
     some = some.withColumn("n_dup_lines", (F.size(p + "worded") - F.size(F.array_distinct(p + "worded"))).cast("long"))
     some = some.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    some = some.withColumn("lost_chars", F.col("word_chars") - F.length(stripped(F.col("clean_text"), SPACES)))
+    some = some.withColumn("lost_chars", F.col("word_chars") - solid(F.col("clean_text")))
     some = some.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= LOSS_PERCENT * F.col("word_chars")))
     return some.select(*names, *new)
