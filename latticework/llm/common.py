@@ -45,7 +45,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece holds about `most` bytes of the column, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -86,7 +86,7 @@ _powers: list[np.ndarray] = []
 def ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse modulo 2 to the 64."""
     if not _powers or len(_powers[0]) < n:
-        most = max(n, 1 << 20)
+        most = max(n, 1 << 18)
         _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(most - 1, x, np.uint64)])) for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))]
     return _powers[0][:n], _powers[1][:n]
 

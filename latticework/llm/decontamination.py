@@ -168,7 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT
         shared = spark.sparkContext.broadcast(Items(block, edit_percent))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches, "text", 2 << 20):
+            for batch in pieces(batches, "text", 1 << 20):
                 texts = [plain(t) for t in batch.column("text").to_pylist()]
                 found = list(search(texts, shared.value))
                 ids = batch.column("doc_id").to_pylist()

@@ -177,7 +177,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             real = [i for i, t in enumerate(texts) if known and t and LETTER.search(t)]
             named, score = ["und"] * len(texts), [0.0] * len(texts)

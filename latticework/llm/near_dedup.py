@@ -94,7 +94,7 @@ def linked(percent: int):
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             hubs, own = batch.column("hub").to_pylist(), shingle_sets(batch.column("text"))
             sizes = pc.binary_length(batch.column("hub_text")).to_pylist()
             keep = np.zeros(len(hubs), bool)

@@ -26,7 +26,7 @@ END_ID = 1
 TOKENS = "doc_id long, ids binary, n long, part long, at long"
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Distinct words whose ids a task keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def default_tokenizer() -> str:

@@ -75,7 +75,7 @@ def windows(span: int):
     """The windows of the marked edges of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             hashes, at, _, _ = words(batch.column("text"))
             held, bytes_at = raw(batch.column("text"))
             docs = batch.column("doc_id").to_pylist()
@@ -98,7 +98,7 @@ def windows(span: int):
 
 
 def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text", 2 << 20):
+    for batch in pieces(batches, "text", 1 << 20):
         _, at, first, end = words(batch.column("text"))
         held, bytes_at = raw(batch.column("text"))
         sizes, gone, left = np.diff(at), [], []
