@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +27,9 @@ END_ID = 1
 TOKENS = "doc_id long, ids binary, n long, part long, at long"
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Distinct words whose ids a task keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 800_000
+#: What parts the words of a line that are encoded together, and how many they are.
+PART, LINE = "7", 500
 
 
 def default_tokenizer() -> str:
@@ -43,24 +46,51 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         self.own = Tokenizer.from_file(path)
         self.type = np.uint16 if self.own.get_vocab_size() <= 1 << 16 else np.uint32
+        # A sign that is a token of its own wherever it stands parts the words of a line.
+        alone = self.own.encode(f"a {PART} a", add_special_tokens=False).ids
+        self.part = alone[1] if len(alone) == 3 else None
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[int, int] = {}
         self.first, self.size, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.type), 0
 
+    def one_by_one(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.own.encode_batch_fast(spelled, add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), self.type), np.array([len(x) for x in found], np.int64)
+
+    def several(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words, how many each has)."""
+        ids, sizes = [], []
+        for at in range(0, len(spelled), LINE):
+            words_ = spelled[at : at + LINE]
+            line = f" {PART} ".join(words_)
+            if self.part is not None and line.count(PART) == len(words_) - 1:
+                found = np.array(self.own.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
+                cut = np.flatnonzero(found == self.part)
+                if len(cut) == len(words_) - 1:
+                    ids.append(np.delete(found, cut).astype(self.type))
+                    sizes.append(np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1)
+                    continue
+            a, b = self.one_by_one(words_)
+            ids.append(a)
+            sizes.append(b)
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def learn(self, hashes: list[int], spelled: list[str]) -> None:
-        found = [e.ids for e in self.own.encode_batch(spelled, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], np.int64)
-        n, more = len(self.at), int(sizes.sum())
-        while n + len(found) > len(self.first):
+        # Words with the parting sign go last, so that few lines have any.
+        order = sorted(range(len(spelled)), key=lambda i: PART in spelled[i])
+        hashes = [hashes[i] for i in order]
+        found, sizes = self.several([spelled[i] for i in order])
+        n, more = len(self.at), len(found)
+        while n + len(sizes) > len(self.first):
             self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
         while self.used + more > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
-        self.ids[self.used : self.used + more] = np.fromiter((i for x in found for i in x), self.type, more)
-        self.first[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(found)] = sizes
-        self.at.update(zip(hashes, range(n, n + len(found))))
+        self.ids[self.used : self.used + more] = found
+        self.first[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(sizes)] = sizes
+        self.at.update(zip(hashes, range(n, n + len(sizes))))
         self.used += more
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -70,10 +100,19 @@ class WordTokenizer:
         if len(self.at) + len(distinct) > KEPT_WORDS:
             self.forget()
         names = distinct.tolist()
-        new = [i for i, h in enumerate(names) if h not in self.at]
-        if new:
-            self.learn([names[i] for i in new], [held[first[one[i]] : end[one[i]]].tobytes().decode() for i in new])
-        row = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))[of]
+        row = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            a, n = first[one[new]], end[one[new]] - first[one[new]]
+            # The new words' bytes, each with a space behind it.
+            stops = np.cumsum(n + 1)
+            line = np.full(stops[-1], 32, np.uint8)
+            to = np.arange(stops[-1] - len(n)) + np.repeat(np.arange(len(n)), n)
+            line[to] = held[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            fresh = distinct[new].tolist()
+            self.learn(fresh, line.tobytes().decode().split(" ")[:-1])
+            row[new] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
+        row = row[of]
         sizes = self.size[row]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.first[row] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
