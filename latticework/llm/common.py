@@ -33,14 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """df cut from its lineage: written to the shared folder as Parquet and read again.
 
+    narrow: the last step of a table that is much smaller than the input takes an eighth of the shuffle's tasks.
+
     The copy outlives any executor, and what reads it has no inherited partitioning, so that the planner
     deals it anew for a join and may split a hot key.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if narrow:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -44,6 +44,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW_LINK
     left = written(
         links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"{a} is not null and {b} is not null and hi <> lo").distinct(),
         "links",
+        narrow=True,
     )
     if left.limit(few + 1).count() <= few:
         return written(left.coalesce(1).mapInArrow(followed, "node long, component long"), "nodes")

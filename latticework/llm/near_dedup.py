@@ -122,7 +122,7 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, source: DataFrame, percen
     """The pairs (hub, doc) that are links."""
     pairs = pairs.join(signatures.select(F.col("id").alias("i"), F.col("signature").alias("one")), F.col("hub") == F.col("i")).select("hub", "doc", "one")
     pairs = pairs.join(signatures.select(F.col("id").alias("i"), F.col("signature").alias("two")), F.col("doc") == F.col("i")).select("hub", "doc", "one", "two")
-    pairs = written(pairs.mapInArrow(agreeing, "hub long, doc long").distinct(), "likely")
+    pairs = written(pairs.mapInArrow(agreeing, "hub long, doc long").distinct(), "likely", narrow=True)
     few = pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
     if few:
         # The texts of a bounded number of pairs are picked out where they are read.
@@ -161,10 +161,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = written(placed.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("size")).where("lo < hi").select(F.col("bucket").alias("b"), "size"), "buckets")
     members = written(placed.join(shared, F.col("bucket") == F.col("b")).select("bucket", "doc", "size"), "members")
     # The first hub of a bucket is the document that meets most others in its buckets.
-    weight = written(members.groupBy(F.col("doc").alias("w_doc")).agg(F.sum("size").alias("weight")), "weights")
+    weight = written(members.groupBy(F.col("doc").alias("w_doc")).agg(F.sum("size").alias("weight")), "weights", narrow=True)
     signatures = written(nodes.join(weight, F.col("doc_id") == F.col("w_doc"), "left_semi").select(F.col("doc_id").alias("id"), "signature"), "signatures")
     best = members.join(weight, F.col("doc") == F.col("w_doc")).groupBy(F.col("bucket").alias("b")).agg(F.max(F.struct("weight", (-F.col("doc")).alias("neg"))).alias("best"))
-    hubs = written(best.select("b", (-F.col("best.neg")).alias("hub")), "hubs")
+    hubs = written(best.select("b", (-F.col("best.neg")).alias("hub")), "hubs", narrow=True)
     meetings = members.join(hubs, F.col("bucket") == F.col("b")).where("doc <> hub").select("hub", "doc")
     members = members.select("bucket", "doc")
     links = tried = label = None
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         if tried is not None:
             known = tried.select(F.col("hub").alias("t_hub"), F.col("doc").alias("t_doc"))
             pairs = pairs.join(known, (F.col("hub") == F.col("t_hub")) & (F.col("doc") == F.col("t_doc")), "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs, "pairs", narrow=True)
         found = confirmed(pairs, signatures, source, percent)
         tried = pairs if tried is None else tried.union(pairs)
         if label is None or not found.isEmpty():
@@ -185,16 +185,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         marked = members.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
         parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc")).alias("some"))
         split = parts.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("kinds"), F.max(F.struct("size", "component", "some")).alias("main")).where("kinds > 1")
-        main = written(split.select("b", F.col("main.component").alias("main"), F.col("main.some.doc").alias("hub")), "open")
+        main = written(split.select("b", F.col("main.component").alias("main"), F.col("main.some.doc").alias("hub")), "open", narrow=True)
         if main.isEmpty():
             break
         # Those outside a bucket's largest component go on: with one of it, and with each other.
-        strays = written(marked.join(main, F.col("bucket") == F.col("b")).where("component <> main").select("bucket", "doc", "component", F.col("hub").alias("other")), "strays")
+        strays = written(marked.join(main, F.col("bucket") == F.col("b")).where("component <> main").select("bucket", "doc", "component", F.col("hub").alias("other")), "strays", narrow=True)
         slots = strays.groupBy(F.col("bucket").alias("b"), F.pmod(F.xxhash64("component"), F.lit(STARS)).alias("slot"))
-        stars = written(slots.agg(F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc", "component")).alias("some")).select("b", F.col("some.doc").alias("hub"), F.col("some.component").alias("own")), "stars")
+        stars = written(slots.agg(F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc", "component")).alias("some")).select("b", F.col("some.doc").alias("hub"), F.col("some.component").alias("own")), "stars", narrow=True)
         among = strays.join(stars, F.col("bucket") == F.col("b")).where("component <> own").select("hub", "doc")
         meetings = strays.select(F.col("other").alias("hub"), "doc").union(among)
-        members = written(members.join(main, F.col("bucket") == F.col("b"), "left_semi"), "members")
+        members = written(members.join(main, F.col("bucket") == F.col("b"), "left_semi"), "members", narrow=True)
         turn += 1
     named = written(reps.join(label, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("r_key"), F.coalesce("component", "rep").alias("component_id")), "named")
     out = sketch.select("doc_id", "n", "set_key").join(named, F.col("set_key") == F.col("r_key"), "left")
