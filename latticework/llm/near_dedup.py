@@ -5,7 +5,9 @@ bins borrow from a filled one along a fixed random order of their own (optimal d
 ROWS bins name buckets. In a bucket a hub is held against the others (a star), never all against all, and
 a document is tried with the hub that it shares most buckets with. Pairs whose signatures agree too
 little for the threshold leave; the others are confirmed on their full sets, and the links make components. Buckets
-that still hold several components go on with other hubs until a round confirms nothing new.
+that still hold several components go on with other hubs until a round confirms nothing new. What they then
+hold is finished exactly: blocks of members are held against each other, and every pair of two components
+whose signatures agree is confirmed, so that no link inside a bucket is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import MULT, mix, pieces, rolled, words, written
+from latticework.llm.common import MULT, mix, pieces, raw, rolled, words, written
 from latticework.llm.components import components
 
 BINS, ROWS = 160, 5
@@ -29,6 +31,8 @@ STARS = 4
 AGREE = 92
 #: Pairs that are broadcast; 16 bytes each.
 FEW_PAIRS = 100_000
+#: Members of an open bucket in a block, about; 440 bytes each and then their texts.
+BLOCK = 128
 _rng = np.random.default_rng(20240229)
 #: For each bin the order in which it looks for a filled one.
 PROBES = np.stack([_rng.permutation(BINS) for _ in range(BINS)])
@@ -134,6 +138,120 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, source: DataFrame, percen
     return written(both.mapInArrow(linked(percent), "hub long, doc long").distinct(), "found")
 
 
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks of a bucket, or inside one if `two` is null, that are of different components and agree.
+
+    A pair that meets in several buckets is given in the first of its bands alone.
+    """
+
+    def members(rows: pa.ListArray) -> tuple[np.ndarray, ...]:
+        flat = rows.flatten()
+        doc, component = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("doc", "component"))
+        named = pc.struct_field(flat, "buckets").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        return doc, component, raw(pc.struct_field(flat, "signature"))[0].reshape(-1, BINS), named
+
+    for batch in batches:
+        one, two, bucket = batch.column("one"), batch.column("two"), batch.column("bucket").to_numpy()
+        rows, hubs, docs = [], [], []
+        for i in range(batch.num_rows):
+            a = members(one.slice(i, 1))
+            within = not two[i].is_valid
+            b = a if within else members(two.slice(i, 1))
+            own: list[tuple[np.ndarray, np.ndarray]] = []
+            for k in range(len(a[0])):
+                at = k + 1 if within else 0
+                like = at + np.flatnonzero(b[1][at:] != a[1][k])
+                like = like[np.count_nonzero(b[2][like] == a[2][k], axis=1) >= AGREE]
+                if len(like):
+                    first = (b[3][like] == a[3][k]).argmax(axis=1)
+                    like = like[a[3][k][first] == bucket[i]]
+                    own.append((np.full(len(like), a[0][k]), b[0][like]))
+            if sum(len(d) for _, d in own):
+                rows.append(i)
+                hubs.append(np.concatenate([h for h, _ in own]))
+                docs.append(np.concatenate([d for _, d in own]))
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(at) for c in ("bucket", "x", "y")), pa.array(hubs, pa.list_(pa.int64())), pa.array(docs, pa.list_(pa.int64()))], names=["bucket", "x", "y", "hubs", "docs"]
+        )
+
+
+def shared_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many values each two of the sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, named, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    new = np.cumsum(often > 1) - 1
+    owner, named = owner[often[named] > 1], new[named[often[named] > 1]]
+    order = np.argsort(named, kind="stable")
+    owner, named = owner[order], named[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(named[-1]) + 1 if len(named) else 0, width):
+        s, e = np.searchsorted(named, [lo, lo + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[s:e], named[s:e] - lo] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def matched(percent: int):
+    """The links among the pairs (hubs, docs) of a row, whose texts are in `texts`."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                flat = batch.column("texts").slice(i, 1).flatten()
+                ids, sets = pc.struct_field(flat, "doc").to_numpy(zero_copy_only=False), shingle_sets(pc.struct_field(flat, "text"))
+                size = np.array([len(s) for s in sets])
+                both = shared_counts(sets)
+                near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+                near &= (size > 0)[:, None] & (size > 0)[None, :]
+                # An id may have several texts.
+                names, at = np.unique(ids, return_inverse=True)
+                linked_ids = np.zeros((len(names), len(names)), bool)
+                x, y = np.nonzero(near)
+                linked_ids[at[x], at[y]] = True
+                hubs, docs = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in ("hubs", "docs"))
+                keep = linked_ids[np.searchsorted(names, hubs), np.searchsorted(names, docs)]
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(hubs[keep]), pa.array(docs[keep])], names=["hub", "doc"])
+
+    return confirm
+
+
+def finished(marked: DataFrame, nodes: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+    """The links (hub, doc) of different components in a bucket: all pairs that agree are confirmed.
+
+    marked: (bucket, doc, component) of the buckets that hold several. A bucket's largest component and its other
+    members are dealt over blocks of their own; blocks of the former are never held against each other.
+    """
+    size = marked.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    size = size.groupBy(F.col("bucket").alias("b")).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("main.n < all")
+    over = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    small = F.col("all") <= BLOCK
+    most = F.when(small, 1).otherwise(over(F.col("all") - F.col("main.n")))
+    size = written(size.select("b", F.col("main.component").alias("main"), most.alias("strays"), F.when(small, 0).otherwise(over(F.col("main.n"))).alias("mains")), "sizes", narrow=True)
+    slot = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    place = F.when((F.col("component") == F.col("main")) & (F.col("mains") > 0), F.col("strays") + slot(F.col("mains"))).otherwise(slot(F.col("strays")))
+    dealt = marked.join(size, F.col("bucket") == F.col("b")).select("bucket", "doc", "component", place.alias("x"), (F.col("mains") == 0).alias("lone"), (place < F.col("strays")).alias("within"))
+    dealt = dealt.join(nodes.select(F.col("doc_id").alias("id"), "signature", "buckets"), F.col("doc") == F.col("id"))
+    packed = written(dealt.groupBy("bucket", "x", "lone", "within").agg(F.collect_list(F.struct("doc", "component", "signature", "buckets")).alias("one")), "blocks")
+    inside = packed.where("within and size(one) > 1").select("bucket", "x", F.col("x").alias("y"), "one", F.lit(None).cast(packed.schema["one"].dataType).alias("two"))
+    each = size.where("mains > 0").select("b", "strays", "mains", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("k"))
+    each = each.select("b", "k", F.explode(F.sequence(F.col("k") + 1, F.col("strays") + F.col("mains") - 1)).alias("y"))
+    left = packed.where("not lone").select("bucket", "x", "one")
+    right = packed.where("not lone").select(F.col("bucket").alias("r_b"), F.col("x").alias("r_x"), F.col("one").alias("two"))
+    across = each.join(left, (F.col("b") == F.col("bucket")) & (F.col("k") == F.col("x"))).join(right, (F.col("b") == F.col("r_b")) & (F.col("y") == F.col("r_x"))).select("bucket", "x", "y", "one", "two")
+    likely = written(inside.union(across).mapInArrow(held, "bucket long, x int, y int, hubs array<long>, docs array<long>"), "rest")
+    needed = likely.select("bucket", "x", "y", F.explode(F.array_distinct(F.concat("hubs", "docs"))).alias("doc"))
+    ids = written(needed.select(F.col("doc").alias("a")).distinct(), "needed", narrow=True)
+    texts = source
+    if ids.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+        texts = source.join(F.broadcast(ids), F.col("doc_id") == F.col("a"), "left_semi")
+    brought = needed.join(texts.select(F.col("doc_id").alias("i"), "text"), F.col("doc") == F.col("i")).groupBy(*[F.col(c).alias(f"t_{c}") for c in ("bucket", "x", "y")]).agg(F.collect_list(F.struct("doc", "text")).alias("texts"))
+    both = likely.join(brought, (F.col("bucket") == F.col("t_bucket")) & (F.col("x") == F.col("t_x")) & (F.col("y") == F.col("t_y"))).select("hubs", "docs", "texts")
+    return written(both.mapInArrow(matched(percent), "hub long, doc long").distinct(), "found")
+
+
 def best_hubs(meetings: DataFrame, most: int) -> DataFrame:
     """Of meetings (hub, doc, a row for each shared bucket) the `most` hubs of a doc that it meets most often."""
     met = meetings.groupBy("hub", "doc").agg(F.count("*").alias("n"))
@@ -181,6 +299,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             links = found if links is None else links.union(found)
             label = components(links, "hub", "doc")
         elif turn:
+            # The labels are those of the round before, and so are the open buckets.
+            marked = members.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+            links = links.union(finished(marked, nodes, source, percent))
+            label = components(links, "hub", "doc")
             break
         marked = members.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
         parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc")).alias("some"))

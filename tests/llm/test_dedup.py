@@ -84,6 +84,34 @@ def test_near_duplicates(docs, rows, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_a_family_about_the_threshold(spark):
+    """Versions of one text with similarities about 0.7; a few pairs reach 0.75, in buckets of many unlinked members."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for p in r.sample(range(400), 8):
+            copy[p] = f"v{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows for w in [t.split()]}
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in range(a + 1, len(rows)):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    assert 250 < len({root(i) for i in sets}) < 300
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: root(i) for i in sets}
+
+
 def test_components_far_and_near(spark):
     r = random.Random(5)
     links = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(500, 560)] + [(None, 3)], "a long, b long")
