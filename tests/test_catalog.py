@@ -40,3 +40,18 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
+
+
+def test_components_of_all_lineitems(spark, con):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i, j in con.execute("select distinct l_orderkey, -1 - l_partkey from lineitem").fetchall():
+        x, y = root(i), root(j)
+        up[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in entry.queries()["connected_components_all"](spark, DATA).collect()}
+    assert got == {x: root(x) for x in list(up)}
