@@ -6,6 +6,7 @@ without what a feature needs have nulls in its places.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from latticework.functions.aggregators import AGGREGATORS, COMBINERS
 from latticework.operators import graph, histogram, topology
 from latticework.operators.pairs import minimum_image
+from latticework.shared import written
 
 # The groups of atom types that features are split by.
 ATOM_TYPES = ("C-H-N-O", "F-Cl-Br-I", "Cu-Mn-Ni-Mo-Fe-Pt-Zn-Ca-Er-Au-Cd-Co-Gd-Na-Sm-Eu-Tb-V-Ag-Nd-U-Ba-Ce-K-Ga-Cr-Al-Li-Sc-Ru-In-Mg-Zr-Dy-W-Yb-Y-Ho-Re-Be-Rb-La-Sn-Cs-Pb-Pr-Bi-Tm-Sr-Ti-Hf-Ir-Nb-Pd-Hg-Th-Np-Lu-Rh-Pu")
@@ -127,21 +129,42 @@ def guest_aprdf(structures: DataFrame, roles: DataFrame, properties: DataFrame,
 def amd(structures: DataFrame, sites: DataFrame, k: int = 100, types: tuple[str, ...] = ATOM_TYPES, every: bool = True, names: tuple[str, ...] = ("mean",), reach: float = 30.0) -> Features:
     """Aggregates over sites of the distance to the j-th neighbour among periodic images, for each group of atom types.
 
-    Images up to `reach` along each axis are searched; it must hold k neighbours of every site. A type that a structure lacks has nulls.
+    Images up to `reach` away are searched first. A structure's type in which a site has fewer than k of them is searched again
+    up to a radius that holds k for certain, so that reach changes the work and not the result. A type that a structure lacks has nulls.
     """
     own = by_type(sites, types, every)
-    lattice = structures.select(F.col("struct_id").alias("ls"), "lattice")
-    length = lambda r: F.sqrt(sum((F.col("lattice")[r][c] * F.col("lattice")[r][c] for c in range(3)), F.lit(0.0)))
-    image = own.join(lattice, F.col("struct_id") == F.col("ls"))
-    for r, n in enumerate("ijk"):
-        most = F.ceil(F.lit(reach) / length(r)).cast("int")
-        image = image.withColumn(n, F.explode(F.sequence(-most, most)))
-    moved = [(F.col(c) + sum((F.col(n) * F.col("lattice")[r][at] for r, n in enumerate("ijk")), F.lit(0.0))).alias(f"{c}2") for at, c in enumerate("xyz")]
-    image = image.select(F.col("struct_id").alias("s2"), F.col("type").alias("t2"), F.col("site_id").alias("i2"), "i", "j", "k", *moved)
-    met = own.join(image, (F.col("struct_id") == F.col("s2")) & (F.col("type") == F.col("t2"))).where("site_id <> i2 or i <> 0 or j <> 0 or k <> 0")
-    d = F.sqrt(sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0)))
-    near = met.select("struct_id", "type", "site_id", d.alias("d")).where(F.col("d") <= reach)
-    ranked = near.groupBy("struct_id", "type", "site_id").agg(F.slice(F.array_sort(F.collect_list("d")), 1, k).alias("d")).select("struct_id", "type", F.posexplode("d").alias("rank", "d"))
+    v = [[F.col("lattice")[r][c] for c in range(3)] for r in range(3)]
+    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+    dot = lambda p, q: sum((x * y for x, y in zip(p, q)), F.lit(0.0))
+    normal = [cross(v[1], v[2]), cross(v[2], v[0]), cross(v[0], v[1])]
+    volume = F.nullif(F.abs(dot(v[0], normal[0])), F.lit(0.0))
+    # A ball holds a whole cell, with an image of each site, for each cell that meets the ball less by a cell's diagonal.
+    sure = sum((F.sqrt(dot(r, r)) for r in v), F.lit(0.0)) + F.pow(volume * (3.0 * (k + 1) / (4 * math.pi)) / F.col("m"), F.lit(1 / 3))
+    placed = own.join(structures.select(F.col("struct_id").alias("ls"), "lattice"), F.col("struct_id") == F.col("ls"))
+    # Along each axis: the perpendicular width, and how far apart the sites stand in cells.
+    at = [dot([F.col(c) for c in "xyz"], n) / volume for n in normal]
+    cells = placed.groupBy(F.col("struct_id").alias("cs"), F.col("type").alias("ct")).agg(F.first("lattice").alias("lattice"), F.count("*").alias("m"), F.array(*[F.max(f) - F.min(f) for f in at]).alias("spread"))
+    cells = cells.select("cs", "ct", "lattice", "m", "spread", F.array(*[volume / F.sqrt(dot(n, n)) for n in normal]).alias("width"), sure.alias("sure"))
+
+    def nearest(cells: DataFrame) -> DataFrame:
+        """(struct_id, type, site_id, d, m): the k smallest distances up to `far`."""
+        mine = own.join(cells, (F.col("struct_id") == F.col("cs")) & (F.col("type") == F.col("ct")))
+        image = mine
+        for r, n in enumerate("ijk"):
+            most = F.ceil(F.col("far") / F.col("width")[r] + F.col("spread")[r] + 1e-9).cast("int")
+            image = image.withColumn(n, F.explode(F.sequence(-most, most)))
+        moved = [(F.col(c) + sum((F.col(n) * F.col("lattice")[r][x] for r, n in enumerate("ijk")), F.lit(0.0))).alias(f"{c}2") for x, c in enumerate("xyz")]
+        image = image.select(F.col("struct_id").alias("s2"), F.col("type").alias("t2"), F.col("site_id").alias("i2"), "i", "j", "k", *moved)
+        met = mine.join(image, (F.col("struct_id") == F.col("s2")) & (F.col("type") == F.col("t2"))).where("site_id <> i2 or i <> 0 or j <> 0 or k <> 0")
+        d = F.sqrt(sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0)))
+        near = met.select("struct_id", "type", "site_id", "m", "far", d.alias("d")).where("d <= far")
+        return near.groupBy("struct_id", "type", "site_id", "m").agg(F.slice(F.array_sort(F.collect_list("d")), 1, k).alias("d"))
+
+    first = written(nearest(cells.withColumn("far", F.lit(float(reach)))), "near")
+    full = first.where(F.size("d") == k).groupBy(F.col("struct_id").alias("fs"), F.col("type").alias("ft"), "m").agg(F.count("*").alias("n")).where("n = m").select("fs", "ft")
+    of_full = lambda s, t: (F.col(s) == F.col("fs")) & (F.col(t) == F.col("ft"))
+    again = nearest(cells.join(full, of_full("cs", "ct"), "left_anti").withColumn("far", F.col("sure")))
+    ranked = first.join(full, of_full("struct_id", "type"), "left_semi").union(again).select("struct_id", "type", F.posexplode("d").alias("rank", "d"))
     each = ranked.groupBy("struct_id", "type", "rank").agg(*[AGGREGATORS[a](F.col("d")).alias(a) for a in names])
     long = each.select("struct_id", "type", "rank", F.posexplode(F.array(*[F.col(a).cast("double") for a in names])).alias("a", "v"))
     kinds = type_names(types, every)

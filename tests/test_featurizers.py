@@ -41,6 +41,22 @@ def test_amd_of_a_simple_cube(crystal):
     assert len(made.labels) == 24 and got["s"] == [None] * 24
 
 
+def test_amd_reaches_every_rank(spark):
+    """A skewed cell and a sparse type in a large one, whose neighbours lie beyond reach, against brute force."""
+    cells = {"skew": [[4.0, 0.0, 0.0], [3.4, 2.0, 0.0], [3.4, 1.0, 1.8]], "large": [[25.0, 0.0, 0.0], [0.0, 28.0, 0.0], [5.0, 0.0, 31.0]]}
+    frac = {"skew": [(0.05, 0.1, 0.0), (0.9, 0.8, 0.95)], "large": [(0.1, 0.1, 0.1), (0.2, 0.15, 0.1)]}
+    rows = [(s, i, "O", *map(float, np.array(f) @ np.array(cells[s]))) for s in cells for i, f in enumerate(frac[s])]
+    structures = spark.createDataFrame(list(cells.items()), "struct_id string, lattice array<array<double>>")
+    sites = spark.createDataFrame(rows, "struct_id string, site_id int, symbol string, x double, y double, z double")
+    made = featurizers.amd(structures, sites, k=30, types=("O",), every=False, reach=8.0)
+    shifts = np.array(np.meshgrid(*[np.arange(-12, 13)] * 3)).reshape(3, -1).T
+    for r in made.df.collect():
+        at = np.array([x[3:] for x in rows if x[0] == r.struct_id])
+        images = (at[None] + (shifts @ np.array(cells[r.struct_id]))[:, None]).reshape(-1, 3)
+        want = np.mean([np.sort(np.linalg.norm(images - a, axis=1))[1:31] for a in at], axis=0)
+        assert r.features == pytest.approx(want)
+
+
 def test_racs(spark, crystal):
     _, sites, properties = crystal
     bonds = graph.both_ways(spark.createDataFrame([("s", 0, 1), ("s", 1, 2)], "struct_id string, i int, j int"), by=["struct_id"])
