@@ -1,8 +1,9 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed into a light element tree. Element subtrees outside the article are hashed and counted
-per host in Spark; those that many pages of a host share are its template and are deleted, together with
-elements whose tag, role or class says that they are not text of the article.
+Every page is parsed into a light element tree. Its element subtrees are hashed and counted per host in Spark,
+those inside the article by themselves; what many pages of a host share is its template and is deleted (inside an
+article: what at least half of them share), together with elements whose tag, role or class says that they are not
+text of the article.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from latticework.llm.common import pieces, written
 
 #: A subtree is template if it stands on at least so many pages of a host, and on so many of a hundred of them.
 LEAST_PAGES, LEAST_PERCENT = 5, 10
+#: The share for subtrees inside an article, high enough to spare paragraphs that some pages repeat.
+INSIDE_PERCENT = 50
+#: What tells the digest of a subtree inside an article from one outside.
+INSIDE = 0x2545F4914F6CDD1D
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S
@@ -163,7 +168,8 @@ def hashed(root: Node, skip: set[int]) -> list[int]:
 
 
 def blocks(region: Node, template: frozenset[int], whole: bool) -> list[str]:
-    """The blocks of a region. whole: the region is the page, where template subtrees are deleted."""
+    """The blocks of a region without template subtrees. whole: the region is the page."""
+    salt = 0 if whole else INSIDE
     out: list[str] = []
     line: list[str] = []
 
@@ -181,7 +187,7 @@ def blocks(region: Node, template: frozenset[int], whole: bool) -> list[str]:
                 line.append(" ")
             elif k.tag == "header" and not whole and not k.kids:
                 continue
-            elif k.noise and not (k.tag in ("header", "hgroup") and not whole) or whole and k.digest in template:
+            elif k.noise and not (k.tag in ("header", "hgroup") and not whole) or k.tag in BLOCK and k.digest ^ salt in template:
                 # What is cut out still parts the text before from the text after.
                 if k.tag in BLOCK:
                     flush()
@@ -204,19 +210,22 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
     root = parse(html)
     found = regions(root)
     whole = found == [root]
-    if whole and template:
-        hashed(root, set())
+    if template:
+        for r in found:
+            hashed(r, set())
     return "\n".join(b for r in found for b in blocks(r, template, whole))
 
 
-def outer(html: str | None) -> list[int]:
-    """The digests of a page's elements outside its article."""
+def subtrees_of(html: str | None) -> tuple[list[int], list[int]]:
+    """The digests of a page's elements outside its article and of those inside, salted with INSIDE; both without repeats."""
     if not html:
-        return []
+        return [], []
     sys.setrecursionlimit(DEEP)
     root = parse(html)
     found = regions(root)
-    return sorted(set(hashed(root, {id(r) for r in found if r is not root})))
+    inside = [] if found == [root] else [d for r in found for d in hashed(r, set())]
+    outside = hashed(root, {id(r) for r in found if r is not root})
+    return sorted(set(outside)), sorted({d ^ INSIDE for d in inside})
 
 
 def host_of(url):
@@ -227,20 +236,22 @@ def host_of(url):
 def templates(pages: DataFrame, least: int = LEAST_PAGES, percent: int = LEAST_PERCENT) -> DataFrame:
     """(host, template array<long>): digests of the subtrees on at least `least` pages and percent of the host's pages.
 
-    So bounded: a host has at most 100 / percent times the subtrees of a page.
+    Those inside articles are salted with INSIDE and stand on INSIDE_PERCENT of the pages at least. So bounded: a host has at most 100 / percent times the subtrees of a page.
     """
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
-            hosts, rows = batch.column("host"), [outer(h) for h in batch.column("html").to_pylist()]
+            hosts, rows = batch.column("host"), [subtrees_of(h) for h in batch.column("html").to_pylist()]
             # 0 counts the page itself.
-            size = [len(r) + 1 for r in rows]
-            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(np.repeat(np.arange(len(rows)), size))), pa.array([d for r in rows for d in (0, *r)], pa.int64())], names=["host", "digest"])
+            size = [len(a) + len(b) + 1 for a, b in rows]
+            digests = pa.array([d for a, b in rows for d in (0, *a, *b)], pa.int64())
+            inside = pa.array([x for a, b in rows for x in [False] * (len(a) + 1) + [True] * len(b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(np.repeat(np.arange(len(rows)), size))), digests, inside], names=["host", "digest", "inside"])
 
-    counted = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(subtrees, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("n")).where(f"n >= {least} or digest = 0")
+    counted = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(subtrees, "host string, digest long, inside boolean").groupBy("host", "digest", "inside").agg(F.count("*").alias("n")).where(f"n >= {least} or digest = 0 and not inside")
     counted = written(counted, "subtrees")
-    size = counted.where("digest = 0").select(F.col("host").alias("h"), F.col("n").alias("pages"))
-    many = counted.where("digest <> 0").join(size, F.col("host") == F.col("h")).where(f"100 * n >= {percent} * pages")
+    size = counted.where("digest = 0 and not inside").select(F.col("host").alias("h"), F.col("n").alias("pages"))
+    many = counted.where("digest <> 0").join(size, F.col("host") == F.col("h")).where(f"100 * n >= if(inside, {max(percent, INSIDE_PERCENT)}, {percent}) * pages")
     return many.groupBy("host").agg(F.collect_list("digest").alias("template"))
 
 

@@ -58,6 +58,13 @@ def test_site_templates_go(spark):
     assert got[50].text == "Our site since 1990\nStory 99 is told.\nBottom line" and got[51].text == "" and got[52].n_chars == 0
 
 
+def test_templates_inside_an_article_go(spark):
+    page = lambda i: f"<body><article><div class='x1'>Read our other stories</div><p>Story {i} is told.</p><p>Shared by some {i // 4}.</p></article></body>"
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(12)] + [(50, "https://b.example/1", page(99))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 is told.\nShared by some 0." and got[50] == "Read our other stories\nStory 99 is told.\nShared by some 24."
+
+
 def _archive():
     payloads = [(1, b"<p>one</p>"), (2, b"<p>one</p>"), (3, b""), (4, b"four" * 50)]
     sha = lambda b: hashlib.sha1(b).digest()
