@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: The white space that separates words: space and U+0009 to U+000D.
@@ -17,6 +19,8 @@ SPACES = " \t\n\x0b\f\r"
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
+#: Spark's own switch for it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +28,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A private one is made only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where none is set, a private one is made for a local master; a cluster's executors could not see it, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="latticework-")
-        spark.sparkContext.setCheckpointDir(at)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="latticework-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
+@contextmanager
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """A job in it drops its shuffle files when it ends; its rows are in a written table by then."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """df cut from its lineage: written to the shared folder as Parquet and read again.
 
@@ -45,8 +64,18 @@ def written(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if narrow:
         df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with frugal(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -78,21 +107,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_rng = np.random.default_rng(7)
-#: A value for each byte, the same with A-Z lower-cased, and the bytes of white space.
-BYTES = _rng.integers(0, 1 << 64, 256, np.uint64)
-LOWERED = BYTES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
+#: The bytes with A-Z lower-cased, and those of white space.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
-BASE = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = []
-
-
-def ladder(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse modulo 2 to the 64."""
-    if not _powers or len(_powers[0]) < n:
-        most = max(n, 1 << 18)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(most - 1, x, np.uint64)])) for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))]
-    return _powers[0][:n], _powers[1][:n]
+#: What is kept of eight bytes for each number of them.
+HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of a word from which it is hashed by itself.
+LONG = 512
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +124,10 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(64-bit hash of each word of all texts, the texts' offsets into them, the words' first and end bytes in raw(texts)).
-
-    Words are maximal runs without SPACES; a null text has none. lower: A-Z only. A word's hash is a
-    polynomial of random byte values, taken from prefix sums, so that all words are hashed at once.
-    """
-    held, at = raw(texts)
+def bounds(held: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and end bytes of all words of texts; words don't reach from one text into the next."""
     if not len(held):
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), np.zeros(len(at), np.int64), none, none
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     solid = ~IS_SPACE[held]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -120,20 +135,49 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
     edge = at[(at > 0) & (at < len(held))]
     begins[edge] = solid[edge]
     ends[edge - 1] = solid[edge - 1]
-    first, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = ladder(len(held))
-    sums = np.zeros(len(held) + 1, np.uint64)
-    np.cumsum((LOWERED if lower else BYTES)[held] * up, out=sums[1:])
-    return mix((sums[end] - sums[first]) * down[first]), np.searchsorted(first, at), first, end
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def hashed(held: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each first to its end: eight at a time, mixed after each, so that it is linear in none of them."""
+    own = np.concatenate([held, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(held) + 1,), "<u8", own, strides=(1,))
+    size = end - first
+    out = mix(size.astype(np.uint64) * MULT + MIX1)
+    large = np.flatnonzero(size > LONG)
+    todo, at = np.flatnonzero(size <= LONG), 0
+    while len(todo):
+        left = size[todo] - at
+        todo, left = (todo, left) if at == 0 else (todo[left > 0], left[left > 0])
+        if not len(todo):
+            break
+        out[todo] = mix((out[todo] ^ (eight[first[todo] + at] & HEADS[np.minimum(left, 8)])) * MULT + MIX2)
+        todo, at = todo[left > 8], at + 8
+    for i in large.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(held[first[i] : end[i]].tobytes())
+    return out
+
+
+def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(64-bit hash of each word of all texts, the texts' offsets into them, the words' first and end bytes in raw(texts)).
+
+    Words are maximal runs without SPACES; a null text has none. lower: A-Z only.
+    """
+    held, at = raw(texts)
+    first, end = bounds(held, at)
+    return hashed(LOWER[held] if lower else held, first, end), np.searchsorted(first, at), first, end
 
 
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive values; empty if there are fewer."""
+    """A hash of each k consecutive values; empty if there are fewer. Doublings put runs together, each mixed."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = hashes[:n].copy()
-    for j in range(1, k):
-        h *= MULT
-        h += hashes[j : j + n]
-    return mix(h)
+    out, have, power, width = None, 0, hashes, 1
+    while True:
+        if k & width:
+            out, have = (power[:n], width) if out is None else (mix(out * MULT + power[have : have + n]), have + width)
+        if width * 2 > k:
+            return out
+        power = mix(power[: len(power) - width] * MULT + power[width:])
+        width *= 2
