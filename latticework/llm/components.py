@@ -2,64 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import written
-
-#: Links up to which one task follows them all; 16 bytes each.
-FEW_LINKS = 200_000
-
-
-def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The components of a bounded number of links."""
-    up: dict[int, int] = {}
+from latticework.llm.common import forget, written
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    for batch in batches:
-        for hi, lo in zip(batch.column("hi").to_pylist(), batch.column("lo").to_pylist()):
-            x, y = root(up.setdefault(hi, hi)), root(up.setdefault(lo, lo))
-            up[max(x, y)] = min(x, y)
-    nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(n) for n in nodes], pa.int64())], names=["node", "component"])
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", few: int = FEW_LINKS) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every id in a link; component is the smallest id that can be reached.
 
     Each round hooks every id under its smallest neighbour, flattens the trees by pointer jumping, and
     contracts the graph to the roots, until no link is left. Rounds grow with the logarithm of the
-    longest path. Every aggregate is combined before its shuffle, so a hub's links don't meet in one task.
-    Up to `few` links are followed in one task instead, with the same result.
-    Null ids and loops link nothing. An empty input gives an empty result.
+    longest path. Every aggregate is combined before its shuffle, so a hub's links don't meet in one task; the
+    plan is the same at every size. Null ids and loops link nothing. An empty input gives an empty result.
     """
     left = written(
         links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(f"{a} is not null and {b} is not null and hi <> lo").distinct(),
         "links",
         narrow=True,
     )
-    if left.limit(few + 1).count() <= few:
-        return written(left.coalesce(1).mapInArrow(followed, "node long, component long"), "nodes")
-    nodes = written(left.select(F.col("hi").alias("node")).union(left.select("lo")).distinct().select("node", F.col("node").alias("component")), "nodes")
+    nodes = written(left.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().select("node", F.col("node").alias("component")), "nodes", narrow=True)
     while not left.isEmpty():
-        up = written(left.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("root")), "hooks")
-        while True:
+        up = written(left.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("root")), "hooks", narrow=True)
+        moved = True
+        while moved:
             over = up.select(F.col("id").alias("mid"), F.col("root").alias("top"))
-            jumped = written(up.join(over, up.root == over.mid, "left").select("id", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "jump")
+            jumped = written(up.join(over, up.root == over.mid, "left").select("id", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "jump", narrow=True)
+            moved = not jumped.where("moved").isEmpty()
+            forget(up)
             up = jumped.select("id", "root")
-            if jumped.where("moved").isEmpty():
-                break
+            up.written_at = jumped.written_at
         at = lambda side: up.select(F.col("id").alias(f"{side}_id"), F.col("root").alias(f"{side}_root"))
-        nodes = written(nodes.join(at("n"), F.col("component") == F.col("n_id"), "left").select("node", F.coalesce("n_root", "component").alias("component")), "nodes")
+        before = nodes, left
+        nodes = written(nodes.join(at("n"), F.col("component") == F.col("n_id"), "left").select("node", F.coalesce("n_root", "component").alias("component")), "nodes", narrow=True)
         left = left.join(at("h"), F.col("hi") == F.col("h_id"), "left").join(at("l"), F.col("lo") == F.col("l_id"), "left")
         x, y = F.coalesce("h_root", "hi"), F.coalesce("l_root", "lo")
-        left = written(left.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).where("hi <> lo").distinct(), "links")
+        left = written(left.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).where("hi <> lo").distinct(), "links", narrow=True)
+        forget(up, *before)
+    forget(left)
     return nodes
+
+
+def joined_up(label: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """label (node, component), a result of components(), after further links: only the components that these join are followed again."""
+    own = lambda c: label.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_component"))
+    met = links.join(own("x"), F.col(a) == F.col("x_node"), "left").join(own("y"), F.col(b) == F.col("y_node"), "left")
+    joined = components(met.select(F.coalesce("x_component", a).alias("a"), F.coalesce("y_component", b).alias("b")), "a", "b")
+    to = joined.select(F.col("node").alias("j_node"), F.col("component").alias("j_component"))
+    old = label.join(to, F.col("component") == F.col("j_node"), "left").select("node", F.coalesce("j_component", "component").alias("component"))
+    new = joined.join(label.select(F.col("node").alias("l_node")), F.col("node") == F.col("l_node"), "left_anti").select("node", "component")
+    out = written(old.union(new), "nodes", narrow=True)
+    forget(joined, label)
+    return out

@@ -4,9 +4,10 @@ One-permutation hashing fills BINS bins with the smallest hash of a document's s
 bins borrow from a filled one along a fixed random order of their own (optimal densification). Bands of
 ROWS bins name buckets. In a bucket a hub is held against the others (a star), never all against all, and
 a document is tried with the hub that it shares most buckets with. Pairs whose signatures agree too
-little for the threshold leave; the others are confirmed on their full sets, and the links make components. Buckets
-that still hold several components go on with other hubs until a round confirms nothing new. What they then
-hold is finished exactly: blocks of members are held against each other, and every pair of two components
+little for the threshold leave; the others are confirmed on their full sets, and the links make components. Where a
+bucket still holds several components, those outside its largest one are strays: each is tried with a member of
+that component, one row a stray and bucket. Rounds of such stars go on while they pay. What is
+then still open is finished exactly: blocks of members are held against each other, and every pair of two components
 whose signatures agree is confirmed, so that no link inside a bucket is lost.
 """
 
@@ -17,20 +18,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import MULT, mix, pieces, raw, rolled, words, written
-from latticework.llm.components import components
+from latticework.llm.common import MULT, forget, mix, pieces, raw, rolled, words, written
+from latticework.llm.components import components, joined_up
 
 BINS, ROWS = 160, 5
 BANDS = BINS // ROWS
-#: Hubs of a bucket in a round after the first, and hubs that a document is tried with in one.
+#: Hubs that a document is tried with in a round after the first, each of other buckets.
 STARS = 4
+#: Rounds of stars end when one links less than a PAYS-th of the documents that it tries. What is left is finished exactly, so that this changes the work and no result.
+PAYS = 10
 #: Bins of BINS in which the signatures of a pair agree at least; at a similarity of 0.75 fewer agree in one of ten million pairs.
 AGREE = 92
-#: Pairs that are broadcast; 16 bytes each.
-FEW_PAIRS = 100_000
 #: Members of an open bucket in a block, about; 440 bytes each and then their texts.
 BLOCK = 128
 _rng = np.random.default_rng(20240229)
@@ -80,7 +82,7 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         sets = shingle_sets(batch.column("text"))
         full = [i for i, s in enumerate(sets) if len(s)]
-        keys = [mix(np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + MULT)) + np.uint64(len(s))])).tobytes() if len(s) else None for s in sets]
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         named: list = [None] * len(sets)
         short: list = [None] * len(sets)
         if full:
@@ -122,20 +124,17 @@ def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("hub").filter(mask), batch.column("doc").filter(mask)], names=["hub", "doc"])
 
 
-def confirmed(pairs: DataFrame, signatures: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, suspects: DataFrame, percent: int) -> DataFrame:
     """The pairs (hub, doc) that are links."""
-    pairs = pairs.join(signatures.select(F.col("id").alias("i"), F.col("signature").alias("one")), F.col("hub") == F.col("i")).select("hub", "doc", "one")
-    pairs = pairs.join(signatures.select(F.col("id").alias("i"), F.col("signature").alias("two")), F.col("doc") == F.col("i")).select("hub", "doc", "one", "two")
-    pairs = written(pairs.mapInArrow(agreeing, "hub long, doc long").distinct(), "likely", narrow=True)
-    few = pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
-    if few:
-        # The texts of a bounded number of pairs are picked out where they are read.
-        texts = source.join(F.broadcast(pairs.select(F.explode(F.array("hub", "doc")).alias("a")).distinct()), F.col("doc_id") == F.col("a"), "left_semi")
-    else:
-        texts = source
-    one, two = (texts.select(F.col("doc_id").alias("i"), F.col("text").alias(y)) for y in ("text", "hub_text"))
-    both = pairs.join(one, F.col("doc") == F.col("i")).select("hub", "doc", "text").join(two, F.col("hub") == F.col("i")).select("hub", "doc", "text", "hub_text")
-    return written(both.mapInArrow(linked(percent), "hub long, doc long").distinct(), "found")
+    signature = suspects.select(F.col("id").alias("i"), "signature")
+    both = pairs.join(signature.withColumnRenamed("signature", "one"), F.col("hub") == F.col("i")).select("hub", "doc", "one")
+    both = both.join(signature.withColumnRenamed("signature", "two"), F.col("doc") == F.col("i")).select("hub", "doc", "one", "two")
+    likely = written(both.mapInArrow(agreeing, "hub long, doc long").distinct(), "likely", narrow=True)
+    one, two = (suspects.select(F.col("id").alias("i"), F.col("text").alias(y)) for y in ("text", "hub_text"))
+    met = likely.join(one, F.col("doc") == F.col("i")).select("hub", "doc", "text").join(two, F.col("hub") == F.col("i")).select("hub", "doc", "text", "hub_text")
+    found = written(met.mapInArrow(linked(percent), "hub long, doc long").distinct(), "found", narrow=True)
+    forget(likely)
+    return found
 
 
 def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +217,7 @@ def matched(percent: int):
     return confirm
 
 
-def finished(marked: DataFrame, nodes: DataFrame, source: DataFrame, percent: int) -> DataFrame:
+def finished(marked: DataFrame, suspects: DataFrame, percent: int) -> DataFrame:
     """The links (hub, doc) of different components in a bucket: all pairs that agree are confirmed.
 
     marked: (bucket, doc, component) of the buckets that hold several. A bucket's largest component and its other
@@ -233,7 +232,7 @@ def finished(marked: DataFrame, nodes: DataFrame, source: DataFrame, percent: in
     slot = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
     place = F.when((F.col("component") == F.col("main")) & (F.col("mains") > 0), F.col("strays") + slot(F.col("mains"))).otherwise(slot(F.col("strays")))
     dealt = marked.join(size, F.col("bucket") == F.col("b")).select("bucket", "doc", "component", place.alias("x"), (F.col("mains") == 0).alias("lone"), (place < F.col("strays")).alias("within"))
-    dealt = dealt.join(nodes.select(F.col("doc_id").alias("id"), "signature", "buckets"), F.col("doc") == F.col("id"))
+    dealt = dealt.join(suspects.select("id", "signature", "buckets"), F.col("doc") == F.col("id"))
     packed = written(dealt.groupBy("bucket", "x", "lone", "within").agg(F.collect_list(F.struct("doc", "component", "signature", "buckets")).alias("one")), "blocks")
     inside = packed.where("within and size(one) > 1").select("bucket", "x", F.col("x").alias("y"), "one", F.lit(None).cast(packed.schema["one"].dataType).alias("two"))
     each = size.where("mains > 0").select("b", "strays", "mains", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("k"))
@@ -243,13 +242,11 @@ def finished(marked: DataFrame, nodes: DataFrame, source: DataFrame, percent: in
     across = each.join(left, (F.col("b") == F.col("bucket")) & (F.col("k") == F.col("x"))).join(right, (F.col("b") == F.col("r_b")) & (F.col("y") == F.col("r_x"))).select("bucket", "x", "y", "one", "two")
     likely = written(inside.union(across).mapInArrow(held, "bucket long, x int, y int, hubs array<long>, docs array<long>"), "rest")
     needed = likely.select("bucket", "x", "y", F.explode(F.array_distinct(F.concat("hubs", "docs"))).alias("doc"))
-    ids = written(needed.select(F.col("doc").alias("a")).distinct(), "needed", narrow=True)
-    texts = source
-    if ids.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
-        texts = source.join(F.broadcast(ids), F.col("doc_id") == F.col("a"), "left_semi")
-    brought = needed.join(texts.select(F.col("doc_id").alias("i"), "text"), F.col("doc") == F.col("i")).groupBy(*[F.col(c).alias(f"t_{c}") for c in ("bucket", "x", "y")]).agg(F.collect_list(F.struct("doc", "text")).alias("texts"))
+    brought = needed.join(suspects.select(F.col("id").alias("i"), "text"), F.col("doc") == F.col("i")).groupBy(*[F.col(c).alias(f"t_{c}") for c in ("bucket", "x", "y")]).agg(F.collect_list(F.struct("doc", "text")).alias("texts"))
     both = likely.join(brought, (F.col("bucket") == F.col("t_bucket")) & (F.col("x") == F.col("t_x")) & (F.col("y") == F.col("t_y"))).select("hubs", "docs", "texts")
-    return written(both.mapInArrow(matched(percent), "hub long, doc long").distinct(), "found")
+    found = written(both.mapInArrow(matched(percent), "hub long, doc long").distinct(), "found", narrow=True)
+    forget(packed, likely, size)
+    return found
 
 
 def best_hubs(meetings: DataFrame, most: int) -> DataFrame:
@@ -278,47 +275,45 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     placed = nodes.select(F.col("doc_id").alias("doc"), F.explode("buckets").alias("bucket"))
     shared = written(placed.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("size")).where("lo < hi").select(F.col("bucket").alias("b"), "size"), "buckets")
     members = written(placed.join(shared, F.col("bucket") == F.col("b")).select("bucket", "doc", "size"), "members")
+    forget(shared)
     # The first hub of a bucket is the document that meets most others in its buckets.
     weight = written(members.groupBy(F.col("doc").alias("w_doc")).agg(F.sum("size").alias("weight")), "weights", narrow=True)
-    signatures = written(nodes.join(weight, F.col("doc_id") == F.col("w_doc"), "left_semi").select(F.col("doc_id").alias("id"), "signature"), "signatures")
+    # The texts of those that meet others are dealt once; what is confirmed later takes them from here.
+    known = nodes.join(weight, F.col("doc_id") == F.col("w_doc"), "left_semi").select(F.col("doc_id").alias("id"), "signature", "buckets")
+    texts = source.select(F.col("doc_id").alias("t_id"), "text")
+    suspects = written(known.join(texts, F.col("id") == F.col("t_id")).select("id", "signature", "buckets", "text"), "suspects")
     best = members.join(weight, F.col("doc") == F.col("w_doc")).groupBy(F.col("bucket").alias("b")).agg(F.max(F.struct("weight", (-F.col("doc")).alias("neg"))).alias("best"))
     hubs = written(best.select("b", (-F.col("best.neg")).alias("hub")), "hubs", narrow=True)
-    meetings = members.join(hubs, F.col("bucket") == F.col("b")).where("doc <> hub").select("hub", "doc")
-    members = members.select("bucket", "doc")
-    links = tried = label = None
-    turn = 0
+    pairs = written(best_hubs(members.join(hubs, F.col("bucket") == F.col("b")).where("doc <> hub").select("hub", "doc"), 1), "pairs", narrow=True)
+    tried = pairs
+    label = components(confirmed(pairs, suspects, percent), "hub", "doc")
+    open_ = members.select("bucket", "doc")
+    turn = 1
     while True:
-        pairs = best_hubs(meetings, STARS if turn else 1)
-        if tried is not None:
-            known = tried.select(F.col("hub").alias("t_hub"), F.col("doc").alias("t_doc"))
-            pairs = pairs.join(known, (F.col("hub") == F.col("t_hub")) & (F.col("doc") == F.col("t_doc")), "left_anti")
-        pairs = written(pairs, "pairs", narrow=True)
-        found = confirmed(pairs, signatures, source, percent)
-        tried = pairs if tried is None else tried.union(pairs)
-        if label is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            label = components(links, "hub", "doc")
-        elif turn:
-            # The labels are those of the round before, and so are the open buckets.
-            marked = members.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
-            links = links.union(finished(marked, nodes, source, percent))
-            label = components(links, "hub", "doc")
-            break
-        marked = members.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+        marked = open_.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
         parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc")).alias("some"))
         split = parts.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("kinds"), F.max(F.struct("size", "component", "some")).alias("main")).where("kinds > 1")
         main = written(split.select("b", F.col("main.component").alias("main"), F.col("main.some.doc").alias("hub")), "open", narrow=True)
-        if main.isEmpty():
+        marked = written(marked.join(main, F.col("bucket") == F.col("b")).select("bucket", "doc", "component", "main", "hub"), "marked")
+        open_ = marked.select("bucket", "doc")
+        seen = tried.select(F.col("hub").alias("t_hub"), F.col("doc").alias("t_doc"))
+        meetings = best_hubs(marked.where("component <> main").select("hub", "doc"), STARS)
+        pairs = written(meetings.join(seen, (F.col("hub") == F.col("t_hub")) & (F.col("doc") == F.col("t_doc")), "left_anti"), "pairs", narrow=True)
+        asked = pairs.select("doc").distinct().count()
+        if not asked:
             break
-        # Those outside a bucket's largest component go on: with one of it, and with each other.
-        strays = written(marked.join(main, F.col("bucket") == F.col("b")).where("component <> main").select("bucket", "doc", "component", F.col("hub").alias("other")), "strays", narrow=True)
-        slots = strays.groupBy(F.col("bucket").alias("b"), F.pmod(F.xxhash64("component"), F.lit(STARS)).alias("slot"))
-        stars = written(slots.agg(F.max(F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc", "component")).alias("some")).select("b", F.col("some.doc").alias("hub"), F.col("some.component").alias("own")), "stars", narrow=True)
-        among = strays.join(stars, F.col("bucket") == F.col("b")).where("component <> own").select("hub", "doc")
-        meetings = strays.select(F.col("other").alias("hub"), "doc").union(among)
-        members = written(members.join(main, F.col("bucket") == F.col("b"), "left_semi"), "members", narrow=True)
+        found = confirmed(pairs, suspects, percent)
+        tried = tried.union(pairs)
+        won = found.select("doc").distinct().count()
+        label = joined_up(label, found, "hub", "doc")
         turn += 1
+        if PAYS * won < asked:
+            break
+    # Links that the last round found join components; pairs of one are held against each other no more.
+    marked = open_.join(label, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+    label = joined_up(label, finished(marked, suspects, percent), "hub", "doc")
     named = written(reps.join(label, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("r_key"), F.coalesce("component", "rep").alias("component_id")), "named")
+    forget(members, weight, suspects, hubs, reps)
     out = sketch.select("doc_id", "n", "set_key").join(named, F.col("set_key") == F.col("r_key"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
