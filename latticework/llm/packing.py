@@ -20,16 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from latticework.llm.common import pieces, raw, words, written
+from latticework.llm.common import IS_SPACE, bounds, pieces, raw, written
 
 WINDOW = 2048
 END_ID = 1
 TOKENS = "doc_id long, ids binary, n long, part long, at long"
 PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Distinct words whose ids a task keeps.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 #: What parts the words of a line that are encoded together, and how many they are.
 PART, LINE = "7", 500
+IS_MARK, IS_LETTER = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+_known: dict[str, WordTokenizer] = {}
 
 
 def default_tokenizer() -> str:
@@ -40,7 +42,7 @@ class WordTokenizer:
     """A tokenizer whose ids for a text are those of its words one after the other.
 
     This holds for vocabularies that drop white space before they merge, as the default one does. Each
-    distinct word is encoded once for many texts.
+    distinct word is encoded once for many texts, and found again by its spelling.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,10 +51,15 @@ class WordTokenizer:
         # A sign that is a token of its own wherever it stands parts the words of a line.
         alone = self.own.encode(f"a {PART} a", add_special_tokens=False).ids
         self.part = alone[1] if len(alone) == 3 else None
+        # Of a vocabulary that marks the ends of words, the ids that end one.
+        suffix = getattr(self.own.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.own.get_vocab_size(), bool)
+        if suffix:
+            self.last[[i for t, i in self.own.get_vocab().items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[str, int] = {}
         self.first, self.size, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.type), 0
 
     def one_by_one(self, spelled: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,6 +71,14 @@ class WordTokenizer:
         ids, sizes = [], []
         for at in range(0, len(spelled), LINE):
             words_ = spelled[at : at + LINE]
+            if all(map(str.isalpha, words_)):
+                # Each has an end of its own, if there are as many ends as words.
+                found = np.array(self.own.encode_batch_fast([" ".join(words_)], add_special_tokens=False)[0].ids, np.int64)
+                cut = np.flatnonzero(self.last[found])
+                if len(cut) == len(words_) and cut[-1] == len(found) - 1:
+                    ids.append(found.astype(self.type))
+                    sizes.append(np.diff(np.concatenate([[-1], cut])))
+                    continue
             line = f" {PART} ".join(words_)
             if self.part is not None and line.count(PART) == len(words_) - 1:
                 found = np.array(self.own.encode_batch_fast([line], add_special_tokens=False)[0].ids, np.int64)
@@ -77,11 +92,10 @@ class WordTokenizer:
             sizes.append(b)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def learn(self, hashes: list[int], spelled: list[str]) -> None:
-        # Words with the parting sign go last, so that few lines have any.
-        order = sorted(range(len(spelled)), key=lambda i: PART in spelled[i])
-        hashes = [hashes[i] for i in order]
-        found, sizes = self.several([spelled[i] for i in order])
+    def learn(self, spelled: list[str]) -> None:
+        # Words of letters go first; those with the parting sign go last, so that few lines have any.
+        spelled = sorted(spelled, key=lambda x: 0 if x.isalpha() else 1 + (PART in x))
+        found, sizes = self.several(spelled)
         n, more = len(self.at), len(found)
         while n + len(sizes) > len(self.first):
             self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
@@ -90,39 +104,46 @@ class WordTokenizer:
         self.ids[self.used : self.used + more] = found
         self.first[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(sizes)] = sizes
-        self.at.update(zip(hashes, range(n, n + len(sizes))))
+        self.at.update(zip(spelled, range(n, n + len(sizes))))
         self.used += more
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        hashes, at, first, end = words(texts)
-        held, _ = raw(texts)
-        distinct, one, of = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.at) + len(distinct) > KEPT_WORDS:
+        held, at = raw(texts)
+        first, end = bounds(held, at)
+        if len(first):
+            # A mark right behind a letter of A-Z is a token of its own.
+            marked = np.flatnonzero((end - first > 1) & IS_MARK[held[end - 1]] & IS_LETTER[held[end - 2]])
+            first, end = np.insert(first, marked + 1, end[marked] - 1), np.insert(end, marked, end[marked] - 1)
+        # The words as they are spelled, one behind the other: equal ones are found by their bytes.
+        solid = held[~IS_SPACE[held]]
+        stops = np.concatenate([[0], np.cumsum(end - first)])
+        spelled = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(solid)).dictionary_encode()
+        names, of = spelled.dictionary.to_pylist(), spelled.indices.to_numpy(zero_copy_only=False)
+        if len(self.at) + len(names) > KEPT_WORDS:
             self.forget()
-        names = distinct.tolist()
         row = np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
-        new = np.flatnonzero(row < 0)
-        if len(new):
-            a, n = first[one[new]], end[one[new]] - first[one[new]]
-            # The new words' bytes, each with a space behind it.
-            stops = np.cumsum(n + 1)
-            line = np.full(stops[-1], 32, np.uint8)
-            to = np.arange(stops[-1] - len(n)) + np.repeat(np.arange(len(n)), n)
-            line[to] = held[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            fresh = distinct[new].tolist()
-            self.learn(fresh, line.tobytes().decode().split(" ")[:-1])
-            row[new] = np.fromiter(map(self.at.__getitem__, fresh), np.int64, len(fresh))
+        new = np.flatnonzero(row < 0).tolist()
+        if new:
+            self.learn([names[i] for i in new])
+            row[new] = [self.at[names[i]] for i in new]
         row = row[of]
         sizes = self.size[row]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.first[row] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        bound = np.concatenate([[0], ends])[at]
+        bound = np.concatenate([[0], ends])[np.searchsorted(first, at)]
         return [ids[s:e] for s, e in zip(bound[:-1], bound[1:])]
 
 
+def known(path: str) -> WordTokenizer:
+    if path not in _known:
+        _known[path] = WordTokenizer(path)
+    return _known[path]
+
+
 def tokenised(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, at, part = WordTokenizer(path), 0, TaskContext.get().partitionId()
+        # A worker keeps its words from task to task.
+        tokenizer, at, part = known(path), 0, TaskContext.get().partitionId()
         last = np.array([end_id], tokenizer.type)
         for batch in pieces(batches, "text"):
             found = [np.concatenate([x, last]) for x in tokenizer.encode(batch.column("text"))]
