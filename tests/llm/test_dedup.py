@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from latticework.llm.components import components
+from latticework.llm.common import mix, rolled, words
+from latticework.llm.components import components, joined_up
 from latticework.llm.line_dedup import drop_repeated_lines
 from latticework.llm.near_dedup import near_duplicates
 from latticework.llm.packing import WordTokenizer, default_tokenizer, pack
@@ -112,11 +113,64 @@ def test_near_duplicates_of_a_family_about_the_threshold(spark):
     assert got == {i: root(i) for i in sets}
 
 
-def test_components_far_and_near(spark):
+@pytest.mark.parametrize("n", [300, 1500, 6000])
+def test_near_duplicates_among_documents_of_one_template(spark, n):
+    """Documents of one template, with similarities about 0.6 and so no links, crowd the buckets; every planted pair is found."""
+    r = random.Random(n)
+    new = lambda k: [f"u{r.randrange(10**9)}" for _ in range(k)]
+    template = new(140)
+    rows = [template + new(44) for _ in range(n)]
+    planted = []
+    for i in range(0, 80, 2):
+        copy = list(rows[i])
+        copy[-22:] = new(22)
+        rows.append(copy)
+        planted.append((i, len(rows) - 1))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for pair in planted for i in pair for w in [rows[i]]}
+    near = [(a, b) for a, b in planted if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(near) == 40 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.65
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in near_duplicates(df).collect()}
+    assert got == {i: i for i in range(len(rows))} | {b: a for a, b in planted}
+
+
+def test_components(spark):
     r = random.Random(5)
-    links = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(500, 560)] + [(None, 3)], "a long, b long")
-    near, far = (sorted(map(tuple, components(links, few=n).collect())) for n in (10_000, 0))
-    assert near == far and (560, 500) in near
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(500, 560)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    want = {x: root(x) for x in list(up)}
+    links = spark.createDataFrame([*pairs, (None, 3)], "a long, b long")
+    assert dict(map(tuple, components(links).collect())) == want
+    first = components(spark.createDataFrame(pairs[:100], "a long, b long"))
+    assert dict(map(tuple, joined_up(first, spark.createDataFrame(pairs[100:], "a long, b long")).collect())) == want
+    assert components(links.limit(0)).count() == 0
+
+
+def test_word_hashes_have_no_linear_structure():
+    import pyarrow as pa
+
+    for n in (256, 1024, 4096):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        hashes, *_ = words(pa.array([word, other, word + " " + "é" * 3000]))
+        assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+        assert [g.tolist() for g in WordTokenizer(default_tokenizer()).encode(pa.array([word, other]))] == [Tokenizer.from_file(default_tokenizer()).encode(x, add_special_tokens=False).ids for x in (word, other)]
+    values = mix(np.arange(1, 301, dtype=np.uint64))
+    for k in (1, 2, 5, 16, 50):
+        assert len(set(rolled(values, k).tolist())) == 301 - k and (rolled(values[9 : 9 + k], k) == rolled(values, k)[9]).all()
+    assert len(rolled(values[:4], 5)) == 0
 
 
 def test_line_dedup(docs, rows, none):
@@ -159,6 +213,25 @@ def test_substring_dedup(docs, rows, none, span, k):
     assert drop_repeated_passages(none).count() == 0
 
 
+def test_substring_dedup_of_periodic_and_branching_texts(spark):
+    """Loops, repeats inside a document, forks in a passage, and rows of one doc_id, against brute force."""
+    r = random.Random(8)
+    a, b = [f"w{r.randrange(60)}" for _ in range(90)], [f"q{i}" for i in range(40)]
+    texts = [(1, a + b), (2, ["x", "y"] * 60), (3, b + a[20:]), (4, ["z"] + ["x", "y"] * 45 + a[:60]), (5, ["t"] * 130), (6, ["t"] * 70 + ["u"] + ["t"] * 60), (7, a + a + b), (7, a + a + b), (8, a[:55] + ["v"] + a[56:])]
+    rows = [(i, " ".join(w)) for i, w in texts]
+    span = 20
+    first = {}
+    for i, w in texts:
+        for p in range(len(w) - span + 1):
+            first[tuple(w[p : p + span])] = min(first.get(tuple(w[p : p + span]), i), i)
+    want = []
+    for i, w in texts:
+        gone = {q for p in range(len(w) - span + 1) if first[tuple(w[p : p + span])] < i for q in range(p, p + span)}
+        want.append((i, len(w), len(gone), " ".join(x for q, x in enumerate(w) if q not in gone)))
+    got = drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), span, 6).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_packing(docs, rows, none):
     own = Tokenizer.from_file(default_tokenizer())
     made = pack(docs.where("doc_id is not null"), window=128).toPandas().sort_values(["doc_id", "start"])
@@ -179,7 +252,7 @@ def test_words_are_tokenised_as_texts_are():
 
     path = default_tokenizer()
     own = Tokenizer.from_file(path)
-    odd = ["It's DON'T we'll", "a b c", "x  \t y\r\nz", "日本 語 <|endoftext|> q<|startoftext|>", "Σίσυφος ΣΑΣ. İ", "é å", "1234 5,6 $%& <html>", "", None]
+    odd = ["İstanbul İ. x. 7. 7 é. é, ... a.. .a 'S a's. ½. ﬁ. ﬁ x́y.", "It's DON'T we'll", "a b c", "x  \t y\r\nz", "日本 語 <|endoftext|> q<|startoftext|>", "Σίσυφος ΣΑΣ. İ", "é å", "1234 5,6 $%& <html>", "", None]
     got = WordTokenizer(path).encode(pa.array(odd, pa.string()))
     assert [g.tolist() for g in got] == [own.encode(t or "", add_special_tokens=False).ids for t in odd]
 
