@@ -25,6 +25,8 @@ from latticework.llm.common import pieces, shared_dir, written
 #: Bytes after which the writer begins another file of its partition.
 FILE_BYTES = 32 << 20
 LEVEL = 4
+#: Bytes that the reader hands to the unpacker at a time.
+FEED = 1024
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 URN = "urn:latticework:page:"
@@ -77,11 +79,11 @@ def one_record(data: bytes, at: int) -> tuple[Record, int]:
     if end < 0:
         raise ValueError("header without end")
     headers: dict[str, str] = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
         if not colon:
             raise ValueError("header line without colon")
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        headers[name.strip().lower()] = value.strip()
     if not headers.get("content-length", "").isdigit():
         raise ValueError("no content length")
     begin, stop = end + 4, end + 4 + int(headers["content-length"])
@@ -102,61 +104,60 @@ def plain_records(data: bytes, base: int | None = None) -> Iterator[Record | Gap
             found, after = one_record(data, at)
             yield found
         except ValueError as e:
-            following = VERSION.search(data, at + 1)
-            while following:
-                try:
-                    one_record(data, following.start())
-                    break
-                except ValueError:
-                    following = VERSION.search(data, following.start() + 1)
-            after = following.start() if following else len(data)
+            after = following(data, at + 1, members=False)
             yield Gap(at if base is None else base, after - at, str(e))
         at = after
 
 
 def member(data: bytes, at: int) -> tuple[bytes, int]:
-    unpacker = zlib.decompressobj(31)
+    """What the gzip member at `at` holds, and where it ends. It is fed in small pieces, so that a member costs its own bytes and not the rest of the file."""
+    unpacker, view, here, out = zlib.decompressobj(31), memoryview(data), at, []
     try:
-        out = unpacker.decompress(memoryview(data)[at:])
+        while not unpacker.eof and here < len(data):
+            out.append(unpacker.decompress(view[here : here + FEED]))
+            here += FEED
     except zlib.error as e:
         raise ValueError(f"member: {e}") from None
     if not unpacker.eof:
         raise ValueError("member without end")
-    return out, len(data) - len(unpacker.unused_data)
+    return b"".join(out), min(here, len(data)) - len(unpacker.unused_data)
+
+
+def following(data: bytes, at: int, members: bool = True) -> int:
+    """Where from `at` on the next valid member or record begins; the end without one."""
+    magic, line = (data.find(MAGIC, at) if members else -1), VERSION.search(data, at)
+    while magic >= 0 or line:
+        here = min(x for x in (magic, line.start() if line else -1) if x >= 0)
+        try:
+            member(data, here) if here == magic else one_record(data, here)
+            return here
+        except ValueError:
+            if here == magic:
+                magic = data.find(MAGIC, here + 1)
+            else:
+                line = VERSION.search(data, here + 1)
+    return len(data)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Every record of an archive that can be read, and the gaps between."""
+    """Every record of an archive that can be read, and the gaps between.
+
+    An uncompressed record is as long as it says, whatever its block looks like; only where its check fails, or a member's, the
+    next valid member or version line is searched for. Time grows with the bytes, but for damage with many false beginnings in a
+    row, each of which is tried. An empty archive has neither. A record may be as long as memory allows.
+    """
     at = 0
     while at < len(data):
-        if data.startswith(b"WARC/", at) and not data.startswith(MAGIC, at):
-            # An uncompressed stretch ends where a valid member begins.
-            end = data.find(MAGIC, at)
-            while end >= 0:
-                try:
-                    member(data, end)
-                    break
-                except ValueError:
-                    end = data.find(MAGIC, end + 1)
-            stop = end if end >= 0 else len(data)
-            for x in plain_records(data[at:stop]):
-                yield Gap(x.start + at, x.size, x.problem) if isinstance(x, Gap) else x
-            at = stop
-            continue
+        problem, after = "", len(data)
         try:
-            out, after = member(data, at)
-            yield from plain_records(out, at)
+            if data.startswith(MAGIC, at):
+                out, after = member(data, at)
+                yield from plain_records(out, at)
+            else:
+                found, after = one_record(data, at)
+                yield found
         except ValueError as e:
-            problem, after = str(e), len(data)
-            nexts = [data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)]
-            while max(nexts) >= 0:
-                here = min(n for n in nexts if n >= 0)
-                try:
-                    member(data, here) if data.startswith(MAGIC, here) else one_record(data, here)
-                    after = here
-                    break
-                except ValueError:
-                    nexts = [data.find(MAGIC, here + 1), data.find(b"WARC/1.", here + 1)]
+            problem, after = str(e), following(data, at + 1)
             yield Gap(at, after - at, problem)
         at = after
 
@@ -258,3 +259,9 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     folder = write_archives(pages, least_bytes)
     return read_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder), payloads=False)
+
+
+def intact(read: DataFrame) -> DataFrame:
+    """The records of read_archives(); a gap among them ends the job with what it is, so that no page is lost unseen."""
+    said = F.concat_ws(" ", F.lit("gap in"), "path", F.lit("at"), F.coalesce(F.col("gap_start").cast("string"), F.lit("?")), F.lit("of"), F.col("gap_bytes").cast("string"), F.lit("bytes:"), "problem")
+    return read.where(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))

@@ -106,6 +106,57 @@ def test_warc_salvage_of_plain_and_cut_files():
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_reader_is_linear_and_leaves_gzip_payloads_alone():
+    import gzip
+    import time
+    import zlib
+
+    sha = lambda b: hashlib.sha1(b).digest()
+    took = []
+    for n in (2000, 16000):
+        whole = b"".join(warc.record(i, f"http://x/{i}", b"<p>text %d</p>" % i, sha(b"<p>text %d</p>" % i), None) for i in range(n))
+        began = time.process_time()
+        assert sum(isinstance(x, warc.Record) for x in warc.salvage(whole)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
+    packed = gzip.compress(b"hello " * 200)
+    plain = [zlib.decompress(warc.record(i, "http://x", packed, sha(packed), None), 31) for i in range(3)]
+    found = list(warc.salvage(b"".join(plain)))
+    assert [type(x) for x in found] == [warc.Record] * 3 and all(x.block.endswith(packed) for x in found)
+    old = plain[1].replace(b"WARC/1.1", b"WARC/0.9", 1)
+    found = list(warc.salvage(b"\x1f\x8b\x08 broken" + old + plain[2]))
+    assert [type(x) for x in found] == [warc.Gap, warc.Record, warc.Record] and found[0].size == 10
+
+
+def test_warc_damage_is_not_lost(spark):
+    rows = [(1, "u", "one"), (1, "u", "one"), (1, "u", "two"), (2, "u", "one")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.intact(warc.round_trip(df)).collect())
+    assert got == [(1, "response", None), (1, "response", None), (1, "response", None), (2, "revisit", 1)]
+    whole = spark.createDataFrame([("a.warc.gz", bytearray(_archive()[1][0][:-9]))], "path string, content binary")
+    with pytest.raises(Exception, match="gap in a.warc.gz"):
+        warc.intact(warc.read_archives(whole)).collect()
+
+
+def test_warc_against_plain_grouping(spark):
+    r = random.Random(4)
+    rows = [(i, None if i % 9 == 0 else f"http://x/{i}", r.choice(["", None, "a" * 50, "é", "b" * 2000])) for i in range(120)]
+    rows += [(i, "http://y", "once %d" % i) for i in range(200, 260)]
+    r.shuffle(rows)
+    by = {}
+    for i, _, html in rows:
+        by.setdefault(html or "", []).append(i)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    for least in (0, 51):
+        got = {x.page_id: (x.record_type, x.refers_to, x.payload_bytes, x.payload_digest) for x in warc.intact(warc.round_trip(df, least)).collect()}
+        assert len(got) == len(rows)
+        for i, _, html in rows:
+            b = (html or "").encode()
+            first = min(by[html or ""])
+            again = len(b) >= least and i != first
+            assert got[i] == ("revisit" if again else "response", first if again else None, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://a/ 5", "é<p>"), (3, "http://a/3", "é<p>"), (7, None, None), (9, "http://a/9", ""), (None, "http://a/n", "é<p>"), (11, "http://a/11", "x" * 100_000), (11, "http://a/11", "x" * 100_000)]
     df = spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, sha1 string").repartition(3)
