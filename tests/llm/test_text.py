@@ -184,22 +184,55 @@ def test_contaminated(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
-def test_contaminated_against_brute_force():
+def fewest_edits(item, text):
+    """Of item against any part of text, by the plain recurrence."""
+    above = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        row = [i]
+        for j, t in enumerate(text, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (c != t)))
+        above = row
+    return min(above)
+
+
+@pytest.mark.parametrize("size", [60, decontamination.SLICE])
+def test_contaminated_against_brute_force(size, monkeypatch):
+    monkeypatch.setattr(decontamination, "SLICE", size)
     r = random.Random(8)
     words = ["the", "an", "tion", "ing", "er", "of", "re"]
     make = lambda n: " ".join("".join(r.choice(words) for _ in range(r.randint(1, 3))) for _ in range(n))
-    items = [(i, make(15).encode()) for i in range(12)]
-    texts = []
-    for n in range(60):
-        t = list(items[n % 12][1].decode())
+    items = [(i, make(11).encode()) for i in range(10)]
+    texts = [b"", b"short"]
+    for n in range(50):
+        t = list(items[n % 10][1].decode())
         for _ in range(n % 14):
-            at = r.randrange(len(t))
-            t[at] = r.choice(["", "x", t[at] + "y"])
-        texts.append((make(20) + " " + "".join(t) + " " + make(20)).encode())
-    known = decontamination.Items(items, 10)
-    got = {(d, i) for d, i, *_ in decontamination.search(texts, known)}
-    want = {(d, i) for d, t in enumerate(texts) for i, x in items if decontamination.aligned(x, t, decontamination.budget(len(x), 10))}
-    assert got == want and len(want) > 30
+            t[r.randrange(len(t))] = r.choice(["", "x", "yz"])
+        texts.append((make(r.randint(0, 15)) + " " + "".join(t) + " " + make(r.randint(0, 15))).encode())
+    want = {}
+    for d, t in enumerate(texts):
+        for i, x in items:
+            if (n := fewest_edits(x, t)) <= decontamination.budget(len(x), 10):
+                want[d, i] = n
+    found = list(decontamination.search(texts, decontamination.Items(items, 10)))
+    assert {(d, i): edits for d, i, _, _, edits, *_ in found} == want and len(want) > 20
+    assert all(fewest_edits(dict(items)[i], texts[d][s:e]) == edits for d, i, s, e, edits, *_ in found)
+
+
+def test_contaminated_long_items_and_repeated_grams():
+    import tracemalloc
+
+    r = random.Random(2)
+    item = bytes(r.choice(b"abcdefghij ") for _ in range(6000))
+    copy = bytearray(item)
+    copy[::40] = b"~" * len(copy[::40])
+    tracemalloc.start()
+    found = list(decontamination.search([b"q " * 3000 + bytes(copy) + b" z" * 3000], decontamination.Items([(1, item)], 10)))
+    assert [(x[1], x[2], x[4]) for x in found] == [(1, 6000, len(item[::40]))]
+    items = decontamination.Items([(1, b"=" * 1000), (2, b"=" * 500 + b" abcdefgh " + b"=" * 490), (3, b"-" * 500)], 10)
+    found = list(decontamination.search([b"=" * 400_000], items))
+    assert [(x[1], x[4]) for x in found] == [(1, 0), (2, 10)]
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
 
 
 SPEECH = {"en": "the house and the garden with that thing of which they were thinking", "de": "das haus und der garten mit der sache über die sie gedacht haben würden"}
