@@ -8,7 +8,6 @@ worked out once, for all languages side by side, and scoring a text is table loo
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,10 @@ from latticework.llm.common import MULT, pieces
 ORDER = 3
 #: Labelled documents of a language from which its statistics are taken, about.
 FIT_DOCS = 600
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learnt, those with the most labelled documents; so a column of stray labels costs a bounded model.
+MOST_LANGS = 200
+#: Bytes of text that are coded at once.
+SLICE = 1 << 20
 PAD = b"\n" * ORDER
 GRAMS = "lang string, width int, gram long, n long"
 
@@ -146,30 +148,59 @@ class Model:
         out[todo] += 8
         return out
 
+    def total(self, texts: list[bytes]) -> np.ndarray:
+        """The code length of each text by language. Long ones are coded in slices, each with the ORDER bytes before it."""
+        out = np.zeros((len(texts), len(self.langs)))
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= SLICE):
+                size += len(texts[to]) + ORDER
+                to += 1
+            if to == at + 1 and size > SLICE:
+                held = np.frombuffer(PAD + texts[at], np.uint8)
+                for s in range(0, len(held) - ORDER, SLICE):
+                    out[at] += self.bits(held[s : s + SLICE + ORDER]).sum(axis=0, dtype=np.float64)
+            else:
+                parts = [PAD + t for t in texts[at:to]]
+                starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
+                bits = self.bits(np.frombuffer(b"".join(parts), np.uint8))
+                # The padding before a later text codes an end that the text before doesn't have.
+                for s in starts[1:]:
+                    bits[s - ORDER : s] = 0
+                out[at:to] = np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
+            at = to
+        return out
+
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     """The model of the languages that docs (text, lang) is labelled with, None without any.
 
-    About fit_docs documents of each language, chosen by a hash of their doc_id over all rows, are
-    counted on the executors; what reaches the driver is bounded by them.
+    About fit_docs documents of each of the MOST_LANGS languages with the most rows, chosen by a hash of their doc_id over all rows, are
+    counted on the executors; what reaches the driver is bounded by them. Null texts and labels teach nothing.
     """
     own = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_docs / n))])
-    drawn = own.where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    drawn = own.where(F.col("lang").isin(*sizes)).where(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     grams = drawn.select("text", "lang").mapInArrow(counted, GRAMS).groupBy("lang", "width", "gram").agg(F.sum("n").alias("n")).toArrow()
     return Model.fit(grams) if grams.num_rows else None
 
 
+def lettered(text: str) -> bool:
+    """Whether any character is a letter (Unicode's L); numerals and fractions aren't."""
+    return any(map(str.isalpha, text))
+
+
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (doc_id) of every row of docs with lang_pred and score; docs needs text.
 
     lang_pred is the language whose statistics code the whole lower-cased text in the fewest bits, the
     first by name of several; score is its share of the posterior under even odds. `und` with score 0
     stands for a null text, one without a letter, and for a model that has no language. Columns of docs
-    named lang_pred and score are replaced. No shuffle.
+    named lang_pred and score are replaced. Repeated rows are judged one by one, long texts in slices. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep or ["doc_id"] if c not in ("lang_pred", "score")]
@@ -179,16 +210,10 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
         known = shared.value
         for batch in pieces(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
-            real = [i for i, t in enumerate(texts) if known and t and LETTER.search(t)]
+            real = [i for i, t in enumerate(texts) if known and t and lettered(t)]
             named, score = ["und"] * len(texts), [0.0] * len(texts)
             if real:
-                parts = [PAD + texts[i].lower().encode() for i in real]
-                starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
-                bits = known.bits(np.frombuffer(b"".join(parts), np.uint8))
-                # The padding before a later text codes an end that the text before doesn't have.
-                for s in starts[1:]:
-                    bits[s - ORDER : s] = 0
-                total = np.add.reduceat(bits, starts, axis=0, dtype=np.float64)
+                total = known.total([texts[i].lower().encode() for i in real])
                 best = total.argmin(axis=1)
                 odds = 1 / np.exp2(np.clip(total.min(axis=1, keepdims=True) - total, -1000, 0)).sum(axis=1)
                 for i, b, o in zip(real, best, odds):

@@ -249,6 +249,29 @@ def test_languages(spark):
     assert [got[i][0] for i in (1, 2, 3, 4, 5, None)] == ["en", "de", "und", "und", "und", "de"] and 0.5 < got[1][1] <= 1 and got[3][1] == 0
     assert lang_id.fit(train.limit(0)) is None and lang_id.identify(ask, None).where("lang_pred <> 'und'").count() == 0
     assert lang_id.identify(ask, model, ask.columns).columns == ["doc_id", "text", "lang_pred", "score"]
+    assert lang_id.identify(ask.limit(0), model).count() == 0
+    twice = spark.createDataFrame([(7, "½ ² ① Ⅷ 5"), (7, "½ ² ① Ⅷ 5"), (8, say("de", 9))], "doc_id long, text string")
+    assert sorted((x.doc_id, x.lang_pred) for x in lang_id.identify(twice, model).collect()) == [(7, "und"), (7, "und"), (8, "de")]
+
+
+def test_long_texts_are_coded_in_slices(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(3)
+    text = " ".join(r.choice(SPEECH["en"].split()) for _ in range(400))
+    model = lang_id.fit(spark.createDataFrame([(1, text, "x"), (2, text[::-1], "y")], "doc_id long, text string, lang string"))
+    asked = [text[:90].encode(), text.encode(), b"", text[50:70].encode(), (text * 3).encode()]
+    whole = model.total(asked)
+    monkeypatch.setattr(lang_id, "SLICE", 100)
+    assert np.allclose(model.total(asked), whole)
+    plain = [model.bits(np.frombuffer(lang_id.PAD + t, np.uint8)).sum(axis=0) if t else np.zeros(2) for t in asked]
+    assert np.allclose(whole, plain, rtol=1e-4)
+
+
+def test_stray_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MOST_LANGS", 2)
+    rows = [(i, "some text", lang) for i, lang in enumerate(["en"] * 5 + ["de"] * 4 + ["zz", "yy"])]
+    assert lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["de", "en"]
 
 
 def test_code_lengths_against_plain_ppm(spark):
