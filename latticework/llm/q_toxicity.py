@@ -11,6 +11,9 @@ from latticework.llm.toxicity import learn, scored
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. Null and empty texts have the score of a text that matches nothing; null labels and labels of no document teach nothing;
+    a null doc_id is not held out; without documents there is no row, without labels of both kinds one score for all.
+    """
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(remainder(5) != 0)
     out = scored(docs, learn(docs, labels))

@@ -312,11 +312,48 @@ def test_toxicity(spark):
     grammar = toxicity.learn(docs, labels)
     got = {x.doc_id: x.score for x in toxicity.scored(docs, grammar).collect()}
     assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows)
-    f = lambda t: dict(zip((*toxicity.KINDS, "most", "share"), grammar.features(t)))
-    assert f("he is a grobnik")["aimed"] > 0 and f("not grobnik")["negated"] > 0 and f("she said grobnik")["reported"] > 0 and f("kill grobnik")["threat"] > 0 and f("grobnik")["plain"] > 0
+    score = lambda t: grammar.score(grammar.features(t))
+    assert score("you are a grobnik") >= score("grobnik") > 0.5 > score("you are not a grobnik") and score("grobnik") > score("she said grobnik")
+    assert score("I will kill you tonight.") > 0.5 > score("I will not kill you.") and score("They kill time.") == score("A quiet evening.") < 0.5
+    assert score("Ich werde dich töten") > 0.5
+    long = "river stone. " * 200_000
+    assert score(long) < 0.5 and score(long + "You are a grobnik, you zorfling, you mulchface.") > score(long)
     odd = toxicity.scored(spark.createDataFrame([(1, None), (2, ""), (None, "x")], "doc_id long, text string"), grammar)
     assert all(0 <= x.score < 0.5 for x in odd.collect())
     assert toxicity.scored(docs.limit(1), toxicity.learn(docs, labels.limit(0))).count() == 1
+    assert toxicity.scored(docs.limit(0), grammar).count() == 0
+    twice = toxicity.scored(docs.where("doc_id = 4").union(docs.where("doc_id = 4")), grammar).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_composed_grammar_against_a_walk():
+    """Every event is found again by looking around each token, without states."""
+    x = toxicity
+    r = random.Random(5)
+    classes = (x.TARGET, x.NEGATION, x.REPORT, x.OBJECT | x.TARGET, x.THREAT, x.INSULT)
+    behind = lambda s, i, bit: any(s[j] & bit for j in range(max(0, i - x.REACH[bit]), i))
+    for _ in range(400):
+        s = [r.choice((0, 0, 0, *classes, x.INSULT | x.THREAT)) for _ in range(r.randint(1, 14))]
+        w = [r.randint(3, 9) for _ in s]
+        want = 0.0
+        for i, symbol in enumerate(s):
+            left = (x.UNDER_NEGATION if behind(s, i, x.NEGATION) else 1) * (x.UNDER_REPORT if behind(s, i, x.REPORT) else 1)
+            for kind, before, bonus in ((x.INSULT, x.TARGET, x.AIM), (x.THREAT, x.OBJECT, x.MENACE)):
+                if symbol & kind:
+                    ahead = next((j for j in range(i + 1, min(len(s), i + x.REACH[kind] + 1)) if s[j] & (x.TARGET | kind)), None)
+                    met = behind(s, i, before) or ahead is not None and s[ahead] & x.TARGET
+                    want += left * ((w[i] if kind == x.INSULT else 0) + (bonus if met else 0))
+        assert x.clause_weight(s, w) == pytest.approx(want)
+
+
+def test_toxicity_held_out(spark):
+    from latticework.llm.common import table
+
+    at = "/root/testdata/sf0.1"
+    docs, labels = table(spark, at, "documents"), table(spark, at, "labels").where("toxic is not null")
+    grammar = toxicity.learn(docs, labels.where(lang_id.remainder(5) != 0))
+    got = toxicity.scored(docs, grammar).join(labels.where(lang_id.remainder(5) == 0), "doc_id").select("score", "toxic").toPandas()
+    assert ((got.score >= 0.5) == (got.toxic == 1)).mean() >= 0.99
 
 
 def test_held_out_rows_are_not_read(spark):
