@@ -2,8 +2,9 @@
 
 Every page is parsed into a light element tree. Its element subtrees are hashed and counted per host in Spark,
 those inside the article by themselves; what many pages of a host share is its template and is deleted (inside an
-article: what at least half of them share), together with elements whose tag, role or class says that they are not
-text of the article.
+article: what at least half of them share). Elements that HTML or a role names as something else than text go too, and those whose
+class names what no article has, such as comments. Other words of a class, such as related or legal, only break ties: an
+element with one goes if many pages of its host have one like it, whatever it says there.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from latticework.llm.common import pieces, written
 LEAST_PAGES, LEAST_PERCENT = 5, 10
 #: The share for subtrees inside an article, high enough to spare paragraphs that some pages repeat.
 INSIDE_PERCENT = 50
-#: What tells the digest of a subtree inside an article from one outside.
-INSIDE = 0x2545F4914F6CDD1D
+#: What tells the digest of a subtree inside an article from one outside, and that of an element's tag and words; the mark of a host with LEAST_PAGES pages.
+INSIDE, FRAME, COUNTED = 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 1
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z""", re.S
@@ -45,33 +46,39 @@ ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")),
     "tr": (("tr",), ("table",)), "option": (("option",), ("select", "datalist")),
 }
-#: Words of a class, id or role that say what an element is.
-NOISE = frozenset(
-    """nav navbar navigation menu menubar header masthead topbar footer bottom sidebar aside complementary rail widget widgets ad ads advert adverts advertisement advertising adslot banner sponsor sponsored
-    promo promotion notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup signin login form search share sharing social related recommended recommendations
-    comment comments commentlist disqus respond reply replies breadcrumb breadcrumbs crumbs pagination pager toolbar tags skip copyright legal contentinfo hidden paywall teaser trending""".split()
+#: Words of a class or id, and roles, that name what no article has.
+NOISE = frozenset("nav navbar navigation menu menubar masthead topbar sidebar ad ads advert adverts advertisement advertising adslot sponsored cookie cookies consent gdpr newsletter comment comments commentlist disqus".split())
+ROLES = frozenset("navigation menu menubar banner complementary contentinfo search form dialog alert alertdialog toolbar".split())
+#: Words that break ties.
+HINTS = frozenset(
+    """footer bottom aside rail widget widgets banner sponsor promo promotion notice notices alert popup modal overlay subscribe subscription signup signin login form search share sharing social
+    related recommended recommendations respond reply replies breadcrumb breadcrumbs crumbs pagination pager toolbar tags skip copyright legal contentinfo hidden paywall teaser trending""".split()
 )
 MAIN_WORDS = frozenset("article main post entry story content articlebody".split())
 
 
 class Node:
-    __slots__ = ("tag", "about", "kids", "digest", "noise", "main")
+    __slots__ = ("tag", "kids", "digest", "noise", "hint", "main")
 
     def __init__(self, tag: str, about: str = "") -> None:
         self.tag, self.kids, self.digest = tag, [], 0
         said: set[str] = set()
-        hidden = False
+        noise = tag in DROPPED
         for m in ATTRIBUTES.finditer(about) if about else ():
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                hidden = True
-            else:
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
+                noise = True
+            elif name != "aria-hidden":
                 # Words of "main-nav", "mainNav" and "main_nav".
                 said.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
         self.main = tag in ("article", "main") or bool(said & MAIN_WORDS) and tag in ("div", "section", "td")
-        self.noise = hidden or tag in DROPPED or bool(said & NOISE)
+        self.noise = noise or bool(said & NOISE)
         if said & {"comment", "comments"}:
             self.main = False
+        #: The digest of tag and words where one of them breaks ties.
+        self.hint = 0
+        if said & HINTS and not said & MAIN_WORDS or tag == "header":
+            self.hint = xxhash.xxh3_64_intdigest("\0".join((tag, *sorted(said))).encode()) - (1 << 63) ^ FRAME
 
 
 def parse(text: str) -> Node:
@@ -170,6 +177,7 @@ def hashed(root: Node, skip: set[int]) -> list[int]:
 def blocks(region: Node, template: frozenset[int], whole: bool) -> list[str]:
     """The blocks of a region without template subtrees. whole: the region is the page."""
     salt = 0 if whole else INSIDE
+    counted = COUNTED in template
     out: list[str] = []
     line: list[str] = []
 
@@ -179,15 +187,21 @@ def blocks(region: Node, template: frozenset[int], whole: bool) -> list[str]:
         if text:
             out.append(text)
 
+    def gone(k: Node) -> bool:
+        if k.noise or k.tag in BLOCK and k.digest ^ salt in template:
+            return True
+        if not k.hint or k.tag == "header" and not whole:
+            return False
+        # A page without an article, of a host without counts, has nothing else to go by.
+        return k.hint in template if counted else whole and k.tag != "header"
+
     def visit(n: Node) -> None:
         for k in n.kids:
             if isinstance(k, str):
                 line.append(k)
             elif k.tag == "br":
                 line.append(" ")
-            elif k.tag == "header" and not whole and not k.kids:
-                continue
-            elif k.noise and not (k.tag in ("header", "hgroup") and not whole) or k.tag in BLOCK and k.digest ^ salt in template:
+            elif gone(k):
                 # What is cut out still parts the text before from the text after.
                 if k.tag in BLOCK:
                     flush()
@@ -204,6 +218,7 @@ def blocks(region: Node, template: frozenset[int], whole: bool) -> list[str]:
 
 
 def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
+    """The main text of one page, given the template digests of its host. A null or empty page has none; a very long or deep page is read whole, in time that grows with its length."""
     if not html:
         return ""
     sys.setrecursionlimit(DEEP)
@@ -217,15 +232,21 @@ def main_text(html: str | None, template: frozenset[int] = frozenset()) -> str:
 
 
 def subtrees_of(html: str | None) -> tuple[list[int], list[int]]:
-    """The digests of a page's elements outside its article and of those inside, salted with INSIDE; both without repeats."""
+    """The digests of a page's elements outside its article, with those of hints anywhere, and of the elements inside, salted with INSIDE; both without repeats."""
     if not html:
         return [], []
     sys.setrecursionlimit(DEEP)
     root = parse(html)
     found = regions(root)
     inside = [] if found == [root] else [d for r in found for d in hashed(r, set())]
-    outside = hashed(root, {id(r) for r in found if r is not root})
-    return sorted(set(outside)), sorted({d ^ INSIDE for d in inside})
+    outside = set(hashed(root, {id(r) for r in found if r is not root}))
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n.hint:
+            outside.add(n.hint)
+        todo.extend(k for k in n.kids if isinstance(k, Node))
+    return sorted(outside - {0, COUNTED}), sorted({d ^ INSIDE for d in inside} - {0, COUNTED})
 
 
 def host_of(url):
@@ -236,7 +257,8 @@ def host_of(url):
 def templates(pages: DataFrame, least: int = LEAST_PAGES, percent: int = LEAST_PERCENT) -> DataFrame:
     """(host, template array<long>): digests of the subtrees on at least `least` pages and percent of the host's pages.
 
-    Those inside articles are salted with INSIDE and stand on INSIDE_PERCENT of the pages at least. So bounded: a host has at most 100 / percent times the subtrees of a page.
+    Those inside articles are salted with INSIDE and stand on INSIDE_PERCENT of the pages at least; a host with `least` pages has COUNTED, too. So the array is bounded,
+    however many pages a host has: by 100 / percent times the subtrees of a page.
     """
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +271,11 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, percent: int = LEAST_P
             yield pa.RecordBatch.from_arrays([hosts.take(pa.array(np.repeat(np.arange(len(rows)), size))), digests, inside], names=["host", "digest", "inside"])
 
     counted = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(subtrees, "host string, digest long, inside boolean").groupBy("host", "digest", "inside").agg(F.count("*").alias("n")).where(f"n >= {least} or digest = 0 and not inside")
-    counted = written(counted, "subtrees")
+    counted = written(counted, "subtrees", narrow=True)
     size = counted.where("digest = 0 and not inside").select(F.col("host").alias("h"), F.col("n").alias("pages"))
     many = counted.where("digest <> 0").join(size, F.col("host") == F.col("h")).where(f"100 * n >= if(inside, {max(percent, INSIDE_PERCENT)}, {percent}) * pages")
-    return many.groupBy("host").agg(F.collect_list("digest").alias("template"))
+    marks = size.where(F.col("pages") >= least).select(F.col("h").alias("host"), F.lit(COUNTED).cast("long").alias("digest"))
+    return many.select("host", "digest").union(marks).groupBy("host").agg(F.collect_list("digest").alias("template"))
 
 
 def extract(pages: DataFrame, least: int = LEAST_PAGES, percent: int = LEAST_PERCENT) -> DataFrame:

@@ -9,6 +9,7 @@ from latticework.llm.html_text import extract
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every page. A null or empty html has an empty text, a null url the empty host; repeated rows are pages of their own; no page gives no row."""
     return extract(table(spark, sf_dir, "pages"))
 
 

@@ -65,6 +65,41 @@ def test_templates_inside_an_article_go(spark):
     assert got[3] == "Story 3 is told.\nShared by some 0." and got[50] == "Read our other stories\nStory 99 is told.\nShared by some 24."
 
 
+def test_words_of_a_class_only_break_ties(spark):
+    """Inside an article, what one page alone has stays, whatever its class; what recurs goes, and with it the words' elements that differ from page to page."""
+    own = '<div class="legal">Terms of the treaty.</div><p class="bottom">At the bottom.</p><section class="paywall related">Walls.</section>'
+    assert html_text.main_text(f"<article><p>Text</p>{own}<div class='comments'>Nice</div></article>") == "Text\nTerms of the treaty.\nAt the bottom.\nWalls."
+
+    def page(i):
+        more = own if i == 3 else ""
+        return f"<article><header><h1>Title {i}</h1></header><p>Story {i}.</p>{more}<div class='x9'>Read us daily</div><section class='related'>See {i * 7} too</section></article>"
+
+    rows = [(i, f"https://a.example/{i}", page(i), "clash") for i in range(20)] + [(3, "https://a.example/3", page(3), None), (60, "https://c.example/", "<article>" + "<p>long text</p>" * 50_000 + "</article>", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id, r.text) for r in html_text.extract(df).collect())
+    assert got[0] == (0, "Title 0\nStory 0.") and len(got) == 22
+    assert got[3] == got[4] == (3, "Title 3\nStory 3.\nTerms of the treaty.\nAt the bottom.\nWalls.") and got[-1][1].count("\n") == 49_999
+    assert html_text.main_text(page(0)) == "Title 0\nStory 0.\nRead us daily\nSee 0 too"
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_templates_against_plain_counting(spark):
+    """The digests that Spark counts are those of the subtrees that a plain count finds on enough pages of their host."""
+    r = random.Random(12)
+    block = lambda: r.choice(["<div>Menu</div>", "<p>Buy now</p>", "<ul><li>a</li><li>b</li></ul>", f"<p>{r.random()}</p>"])
+    rows = [(i, f"http://{r.choice('abc')}.example/{i}", "".join(block() for _ in range(4)) + "<article>" + "".join(block() for _ in range(3)) + "</article>") for i in range(90)]
+    pages, seen = {}, {}
+    for _, url, page in rows:
+        host = url[7:16]
+        pages[host] = pages.get(host, 0) + 1
+        outside, inside = html_text.subtrees_of(page)
+        for d, kind in [(d, 10) for d in outside] + [(d, 50) for d in inside]:
+            seen[host, d, kind] = seen.get((host, d, kind), 0) + 1
+    want = {h: {html_text.COUNTED} | {d for (k, d, p), n in seen.items() if k == h and n >= 5 and 100 * n >= p * pages[h]} for h in pages}
+    got = {x.host: set(x.template) for x in html_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def _archive():
     payloads = [(1, b"<p>one</p>"), (2, b"<p>one</p>"), (3, b""), (4, b"four" * 50)]
     sha = lambda b: hashlib.sha1(b).digest()
