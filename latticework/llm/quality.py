@@ -1,6 +1,7 @@
 """Line-first quality rules with DataFrame functions only.
 
-Every line is judged alone: symbols, capitals, cells of tables and menus, and stock phrases. Lines that fail are removed,
+Every line is judged alone, by rules of three kinds. Punctuation: runs of marks, and long lines in which no word ends a sentence. Navigation: cells
+between bars or arrows, and lines without a letter. Boilerplate: stock phrases, capitals, markup symbols. Lines that fail are removed,
 and a document that loses too much of its text is rejected.
 """
 
@@ -13,15 +14,23 @@ from latticework.llm.common import unused
 
 GAP, WORD, SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+", "[#*$%&|<>]"
 WINDOW = 5
-#: Of a line's words, in percent: symbols from which it fails, and cells between bars.
-SYMBOL_PERCENT, CELL_PERCENT = 20, 20
+#: Of a line's words, in percent: symbols from which it fails, cells between bars, and runs of marks such as !!.
+SYMBOL_PERCENT, CELL_PERCENT, SHOUT_PERCENT = 20, 20, 20
+#: Words from which a line must have one that ends a sentence, unless it is the whole text.
+END_WORDS = 12
 #: Of a line's letters, in percent, and letters that it must have for it to count.
 CAPITAL_PERCENT, CAPITAL_LEAST = 70, 12
 #: Of a text's word characters, in percent, that it may lose.
 LOSS_PERCENT = 50
-#: Phrases of menus and notices; a line of at most STOCK_WORDS words that has one fails.
-STOCK = ("skip to content", "all rights reserved", "cookie policy", "privacy policy", "terms of use", "sign in", "log in", "subscribe to our newsletter", "click here", "read more")
+#: Phrases of menus and notices, of our own choice; a line of at most STOCK_WORDS words that has one fails.
+STOCK = (
+    "skip to content", "all rights reserved", "cookie policy", "privacy policy", "terms of use", "sign in", "log in", "subscribe to our newsletter", "click here", "read more",
+    "alle rechte vorbehalten", "datenschutz", "impressum", "nutzungsbedingungen", "anmelden", "mehr lesen", "hier klicken",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "iniciar sesión", "leer más", "haga clic aquí",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "se connecter", "lire la suite", "cliquez ici",
+)
 STOCK_WORDS = 12
+CELL, SHOUT, END = "[|»›→]", "[!?]{2,}", r"""[.!?…。]["'”’»)\]]*(?:[\x20\x09-\x0D]|$)"""
 
 
 def words_of(text: Column) -> Column:
@@ -41,20 +50,25 @@ def line_facts(line: Column) -> Column:
         F.lower(line).alias("low"),
         F.regexp_count(line, F.lit(WORD)).alias("n"),
         F.regexp_count(line, F.lit(SYMBOL)).alias("symbols"),
-        (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))).alias("cells"),
+        F.regexp_count(line, F.lit(CELL)).alias("cells"),
+        F.regexp_count(line, F.lit(SHOUT)).alias("shouts"),
+        F.rlike(line, F.lit(END)).alias("ends"),
         F.length(F.regexp_replace(line, r"[^\p{L}]+", "")).alias("letters"),
         F.regexp_count(line, F.lit(r"\p{Lu}")).alias("capitals"),
     )
 
 
-def line_fails(facts: Column) -> Column:
-    n, symbols, cells, letters, capitals = (facts.getField(f) for f in ("n", "symbols", "cells", "letters", "capitals"))
+def line_fails(facts: Column, alone: Column) -> Column:
+    """Whether a line fails; alone: whether it is the whole text."""
+    n, symbols, cells, shouts, ends, letters, capitals = (facts.getField(f) for f in ("n", "symbols", "cells", "shouts", "ends", "letters", "capitals"))
     stock = F.lit(False)
     for phrase in STOCK:
         stock |= F.contains(facts.getField("low"), F.lit(phrase))
     return (
         (100 * symbols > SYMBOL_PERCENT * n)
         | (100 * cells > CELL_PERCENT * n)
+        | (100 * shouts > SHOUT_PERCENT * n)
+        | ((n >= END_WORDS) & ~ends & ~alone)
         | ((letters >= CAPITAL_LEAST) & (100 * capitals > CAPITAL_PERCENT * letters))
         | ((n > 0) & (letters == 0))
         | ((n <= STOCK_WORDS) & stock)
@@ -88,7 +102,7 @@ def judged(docs: DataFrame) -> DataFrame:
     covered = F.transform(p + "d", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(p + "d"), j + 1) - x, F.lit(WINDOW))))
     repeats = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
     worded = F.filter(p + "lines", lambda x: F.rlike(x, F.lit(WORD)))
-    left = F.transform(F.filter(F.transform(p + "lines", line_facts), lambda x: ~line_fails(x)), lambda x: x.getField("line"))
+    left = F.transform(F.filter(F.transform(p + "lines", line_facts), lambda x: ~line_fails(x, F.size(p + "lines") == 1)), lambda x: x.getField("line"))
     some = some.select(
         *names,
         n.cast("long").alias("n_words"),

@@ -26,6 +26,19 @@ def test_quality(some):
     assert quality.judged(some.limit(0)).count() == 0
 
 
+def test_quality_by_line(spark):
+    """Each kind of rule takes the lines that it is for, and prose stays."""
+    prose = "The river was quiet in the evening, and nobody walked along it."
+    bad = [
+        "Home » News » Sport » Weather", "one | two | three", "well!! now?? then!! yes!!", "a long line of many words goes on and on here without any sentence mark",
+        "Alle Rechte vorbehalten", "lire la suite", "### ***", "12 34 -- 56", "THIS IS A LINE IN CAPITALS",
+    ]
+    rows = [(i, prose + "\n" + x + "\n" + prose) for i, x in enumerate(bad)] + [(50, prose), (51, "Short title\n" + prose), (52, "a " * 12 + "“end.”"), (53, (prose + "\n") * 30_000 + "x")]
+    got = {r.doc_id: (r.clean_text, r.kept) for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i][0] == prose + "\n" + prose for i in range(len(bad)))
+    assert got[50] == (prose, True) and got[51][0] == "Short title\n" + prose and got[52][0] == rows[-2][1] and len(got[53][0]) == len(rows[-1][1])
+
+
 def test_repeat_words_against_brute_force(spark):
     r = random.Random(3)
     texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 60))) for _ in range(40)]
