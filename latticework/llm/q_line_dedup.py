@@ -10,6 +10,7 @@ from latticework.llm.line_dedup import drop_repeated_lines
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. A null or empty text is one empty line; rows of one doc_id are one document; a null doc_id loses nothing; no document gives no row."""
     out = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

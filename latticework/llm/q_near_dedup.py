@@ -9,6 +9,9 @@ from latticework.llm.near_dedup import near_duplicates
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. Null and empty texts have no shingles and link with nothing; rows of one doc_id are one document; a null doc_id has no
+    component and is kept; no document gives no row.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
 

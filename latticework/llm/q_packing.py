@@ -9,6 +9,7 @@ from latticework.llm.packing import pack
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every piece. A null or empty text is its end id alone; rows with one or a null doc_id are packed one by one; no document gives no row."""
     return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 

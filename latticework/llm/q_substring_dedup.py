@@ -10,6 +10,7 @@ from latticework.llm.substring_dedup import drop_repeated_passages
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every document. Null and empty texts have no words; rows of one doc_id are one document; a null doc_id keeps all its words; no document gives no row."""
     out = drop_repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 

@@ -189,14 +189,18 @@ def drop_repeated_passages(docs: DataFrame, span: int = SPAN, k: int = SEED) ->
     # A link is where an edge's only successor has it as its only predecessor; without one a path begins or ends.
     there = graph.select(F.col("edge").alias("n_edge"), F.col("prev").alias("n_prev"))
     back = graph.select(F.col("edge").alias("p_edge"), F.col("next").alias("p_next"))
-    linked = graph.join(there, (F.col("next") == F.col("n_edge")) & (F.col("edge") == F.col("n_prev")), "left").select("edge", "lo", "prev", F.col("n_edge").isNull().alias("last"))
-    linked = linked.join(back, (F.col("prev") == F.col("p_edge")) & (F.col("edge") == F.col("p_next")), "left").select(F.col("edge").alias("e"), "lo", F.col("p_edge").isNull().alias("first"), "last")
+    # Edges without a neighbour have their own key, or they would all meet in one task.
+    dealt = lambda c: F.coalesce(c, "edge")
+    linked = graph.join(there, (dealt("next") == F.col("n_edge")) & (F.col("edge") == F.col("n_prev")) & F.col("next").isNotNull(), "left").select("edge", "lo", "prev", F.col("n_edge").isNull().alias("last"))
+    linked = linked.join(back, (dealt("prev") == F.col("p_edge")) & (F.col("edge") == F.col("p_next")) & F.col("prev").isNotNull(), "left").select(F.col("edge").alias("e"), "lo", F.col("p_edge").isNull().alias("first"), "last")
     tips = written(linked.where("first or last"), "tips")
     forget(graph)
     placed = runs.select("doc", "spot", F.posexplode("edges").alias("i", "edge")).select("doc", (F.col("spot") + F.col("i")).alias("spot"), "edge")
     ends = written(placed.join(tips, F.col("edge") == F.col("e")).select("doc", "spot", "edge", "lo", "first", "last"), "ends")
     forget(runs, tips)
-    ends = written(ends.groupBy("doc").agg(F.collect_list(F.struct("spot", "edge", "lo", "first", "last")).alias("ends")), "paths")
+    # So many tasks as that, for rows that cost more than their bytes.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = written(ends.repartition(parts, "doc").groupBy("doc").agg(F.collect_list(F.struct("spot", "edge", "lo", "first", "last")).alias("ends")), "paths")
     holders = ends.where(F.exists("ends", lambda m: m.getField("lo") == F.col("doc")))
     digests = holders.join(texts, F.col("doc") == F.col("t")).select("doc", "ends", "text").mapInArrow(first_words(span), DIGESTS)
     digests = written(digests.groupBy(F.col("path").alias("d")).agg(F.min("digest").alias("digest")), "digests")
