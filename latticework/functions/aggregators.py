@@ -54,20 +54,23 @@ COMBINERS: dict[str, Callable[[Column, Column], Column]] = {
 def aggregate(df: DataFrame, by: list[str], column: str, names: tuple[str, ...] = NAMES, mask: Column | None = None) -> DataFrame:
     """One row for each group with a column for each aggregate of `names`.
 
-    mask: rows for which it is true don't count, but for UNMASKED. Values that are NaN count as null.
+    mask: rows for which it is true don't count, but for UNMASKED, and values that are NaN count as null; without a mask a NaN spoils its group.
     Medians and quartiles are exact; a group's distinct values must fit a task, as a structure's do.
     """
-    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    plain = F.col(column).cast("double")
+    value = F.nanvl(plain, F.lit(None).cast("double"))
     shown = F.when(~mask, value) if mask is not None else value
-    own = df.select(*by, value.alias("__all"), shown.alias("__x"))
-    simple = [AGGREGATORS[n](F.col("__all" if n in UNMASKED else "__x")).alias(n) for n in names if n != "mad"]
+    own = df.select(*by, value.alias("__all"), shown.alias("__x"), F.isnan(plain).alias("__nan"))
+    # Without a mask a NaN makes every aggregate of its group one.
+    spoilt = lambda c: c if mask is not None else F.when(F.max(F.col("__nan").cast("int")) == 1, F.lit(float("nan"))).otherwise(c)
+    simple = [spoilt(AGGREGATORS[n](F.col("__all" if n in UNMASKED else "__x"))).alias(n) for n in names if n != "mad"]
     if "mad" not in names:
         return own.groupBy(*by).agg(*simple)
     out = own.groupBy(*by).agg(*simple, F.percentile("__x", F.lit(0.5)).alias("__median"))
     # A null in a group's key must still meet its median.
     left, right = own.alias("l"), out.select(*[F.col(c).alias(f"__{c}") for c in by], "__median").alias("r")
     met = left.join(right, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] or F.lit(True))
-    mad = met.groupBy(*by).agg(F.percentile(F.abs(F.col("__x") - F.col("__median")), F.lit(0.5)).alias("mad"))
+    mad = met.groupBy(*by).agg(spoilt(F.percentile(F.abs(F.col("__x") - F.col("__median")), F.lit(0.5))).alias("mad"))
     mad = mad.select(*[F.col(c).alias(f"__{c}") for c in by], "mad")
     return out.join(mad, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] or F.lit(True)).select(*by, *names)
 

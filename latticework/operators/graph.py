@@ -47,13 +47,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def refine(labels: DataFrame, edges: DataFrame, rounds: int, by: list[str] | None = None) -> DataFrame:
-    """(by, node, label): md5 of the own label and the sorted labels of the neighbours, `rounds` times over."""
+    """(by, node, label): md5 of the own label and the sorted labels of the neighbours, `rounds` times over.
+
+    Equal labels of a node's neighbours are counted before they meet, so that a hub brings a row for each label and not for each bond.
+    """
     by = by or []
     own = labels
     for _ in range(rounds):
         right = own.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("node").alias("__node"), F.col("label").alias("__label"))
         met = edges.join(right, [F.col(c) == F.col(f"__{c}") for c in by] + [F.col("j") == F.col("__node")])
-        near = met.groupBy(*by, "i").agg(F.array_join(F.array_sort(F.collect_list("__label")), ",").alias("__near"))
+        near = met.groupBy(*by, "i", "__label").agg(F.count("*").cast("int").alias("__n"))
+        near = near.groupBy(*by, "i").agg(_spelled("__label", "__n").alias("__near"))
         near = near.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("i").alias("_i"), "__near")
         own = own.join(near, [F.col(c) == F.col(f"_{c}") for c in by] + [F.col("node") == F.col("_i")], "left")
         own = own.select(*by, "node", F.md5(F.concat("label", F.lit("|"), F.coalesce("__near", F.lit("")))).alias("label"))
@@ -62,7 +66,13 @@ def refine(labels: DataFrame, edges: DataFrame, rounds: int, by: list[str] | Non
 
 def graph_hashes(labels: DataFrame, edges: DataFrame, rounds: int, by: list[str]) -> DataFrame:
     """One hash a graph: md5 of the sorted refined labels. Undecorated graphs have equal labels, scaffolds lack their leaves (see scaffold)."""
-    return refine(labels, edges, rounds, by).groupBy(*by).agg(F.md5(F.array_join(F.array_sort(F.collect_list("label")), ",")).alias("hash"))
+    counted = refine(labels, edges, rounds, by).groupBy(*by, "label").agg(F.count("*").cast("int").alias("__n"))
+    return counted.groupBy(*by).agg(F.md5(_spelled("label", "__n")).alias("hash"))
+
+
+def _spelled(label: str, n: str) -> Column:
+    """The sorted labels, each as often as it was counted, joined by commas."""
+    return F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(label, n))), lambda x: F.array_repeat(x.getField(label), x.getField(n)))), ",")
 
 
 def scaffold(edges: DataFrame, by: list[str]) -> DataFrame:

@@ -75,6 +75,24 @@ def kernel_density(values: DataFrame, by: list[str], x: str, low: float, high: f
     return met.groupBy(*by, "point").agg(F.sum(F.exp(-z * z / 2) / (F.col("__h") * F.col("__n") * math.sqrt(2 * math.pi))).alias("density"))
 
 
+def smear(counts: DataFrame, by: list[str], value: str, low: float, high: float, points: int, factor: float) -> DataFrame:
+    """(by, point, density): a histogram's counts smeared: the kernel estimate of the counts themselves, empty bins included, on an even grid."""
+    return kernel_density(counts, by, value, low, high, points, factor)
+
+
+def voxel_distances(points: DataFrame, by: list[str], axes: tuple[str, str, str], bounds: tuple[tuple[float, float], ...], n: int) -> DataFrame:
+    """(by, vx, vy, vz, distance): from the centre of every voxel of a group's grid to its nearest point.
+
+    An equi-join on the group whose voxels are dealt by their first coordinate; only a minimum a voxel is left of it.
+    """
+    own = points.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.col(a).cast("double").alias(f"_p{i}") for i, a in enumerate(axes)])
+    whole = grid(points, by, vx=n, vy=n, vz=n)
+    centre = [F.lit(lo) + (F.col(v) + 0.5) * ((hi - lo) / n) for v, (lo, hi) in zip(("vx", "vy", "vz"), bounds)]
+    met = whole.join(own, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] if by else F.lit(True))
+    d2 = sum(((c - F.col(f"_p{i}")) * (c - F.col(f"_p{i}")) for i, c in enumerate(centre)), F.lit(0.0))
+    return met.groupBy(*by, "vx", "vy", "vz").agg(F.sqrt(F.min(d2)).alias("distance"))
+
+
 def voxel_of(x: Column, low: float, high: float, n: int) -> Column:
     """The voxel from 0 on one axis, clipped to the grid."""
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((x - low) / ((high - low) / n)))).cast("int")

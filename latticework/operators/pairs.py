@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from latticework.functions.aggregators import COMBINERS
 
 
-def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
-    """The distance of two arrays of doubles."""
+def distance(a: Column, b: Column, metric: str = "euclidean", width: int | None = None) -> Column:
+    """The distance of two arrays of doubles. width: their length, where it is known; a Euclidean distance then is a plain sum, which compiles."""
+    if metric == "euclidean" and width:
+        return F.sqrt(sum(((a[i] - b[i]) * (a[i] - b[i]) for i in range(1, width)), (a[0] - b[0]) * (a[0] - b[0])))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     by = lambda f: F.zip_with(a, b, f)
     if metric == "euclidean":
@@ -21,20 +23,38 @@ def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
     if metric == "cosine":
         norm = lambda x: F.sqrt(total(F.transform(x, lambda v: v * v)))
         return 1 - total(by(lambda x, y: x * y)) / (norm(a) * norm(b))
+    if metric == "sqeuclidean":
+        return total(by(lambda x, y: (x - y) * (x - y)))
+    if metric == "braycurtis":
+        return total(by(lambda x, y: F.abs(x - y))) / total(by(lambda x, y: F.abs(x + y)))
+    if metric == "canberra":
+        return total(by(lambda x, y: F.when((x != 0) | (y != 0), F.abs(x - y) / (F.abs(x) + F.abs(y))).otherwise(0.0)))
+    if metric == "hamming":
+        return total(by(lambda x, y: (x != y).cast("double"))) / F.size(a)
+    if metric == "correlation":
+        less = lambda x: F.transform(x, lambda v: v - total(x) / F.size(x))
+        return distance(less(a), less(b), "cosine")
     raise ValueError(f"unknown metric {metric}")
 
 
-def pairs_within(df: DataFrame, group: str, key: str, *columns: str, role: tuple[Column, Column] | None = None) -> DataFrame:
+def pairs_within(df: DataFrame, group: str, key: str, *columns: str, role: tuple[Column, Column] | None = None, blocks: int = 4) -> DataFrame:
     """Each two rows of a group once (key a < key b), with columns suffixed _a and _b.
 
-    The join is an equi-join on group. With role = (left filter, right filter) it is every left row with every right one.
+    The join is an equi-join on group and on the blocks that both rows are dealt to by their keys: a group's pairs are the work of blocks * blocks
+    keys, and so of many tasks, for which a row is sent `blocks` times. With role = (left filter, right filter) it is every left row with every right one.
     """
-    side = lambda s, where: (df.where(where) if where is not None else df).select(F.col(group).alias(f"__{s}"), *[F.col(c).alias(f"{c}_{s}") for c in (key, *columns)])
+    own = lambda s: F.pmod(F.xxhash64(F.col(f"{key}_{s}")), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def side(s: str, where: Column | None) -> DataFrame:
+        rows = (df.where(where) if where is not None else df).select(F.col(group).alias(f"__{s}"), *[F.col(c).alias(f"{c}_{s}") for c in (key, *columns)])
+        return rows.withColumn(f"__{s}x", own(s) if s == "a" else every).withColumn(f"__{s}y", every if s == "a" else own(s))
+
     left, right = side("a", role[0] if role else None), side("b", role[1] if role else None)
-    on = F.col("__a") == F.col("__b")
+    on = (F.col("__a") == F.col("__b")) & (F.col("__ax") == F.col("__bx")) & (F.col("__ay") == F.col("__by"))
     if role is None:
         on &= F.col(f"{key}_a") < F.col(f"{key}_b")
-    return left.join(right, on).drop("__b").withColumnRenamed("__a", group)
+    return left.join(right, on).drop("__b", "__ax", "__ay", "__bx", "__by").withColumnRenamed("__a", group)
 
 
 def pairs_within_cutoff(points: DataFrame, group: str, key: str, cutoff: float, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
@@ -93,9 +113,12 @@ def supercell(points: DataFrame, lattice: tuple[tuple[float, ...], ...], box: fl
 
 
 def nearest_neighbours(pairs: DataFrame, key: str, k: int, value: str = "distance") -> DataFrame:
-    """The k smallest distances of each key with their rank from 1; pairs hold (key, other, distance) both ways."""
-    ordered = pairs.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(value)), 1, k).alias("d"))
-    return ordered.select(key, F.posexplode("d").alias("rank", value)).withColumn("rank", F.col("rank") + 1)
+    """The k smallest distances of each key with their rank from 1; pairs hold (key, other, distance) both ways.
+
+    The rank is bounded, so that Spark keeps k rows a key before its shuffle already.
+    """
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    return pairs.select(key, value, rank.alias("rank")).where(F.col("rank") <= k).select(key, "rank", value)
 
 
 def average_minimum_distances(pairs: DataFrame, key: str, by: list[str], k: int) -> DataFrame:
@@ -105,11 +128,14 @@ def average_minimum_distances(pairs: DataFrame, key: str, by: list[str], k: int)
 
 
 def weighted_pair_histogram(pairs: DataFrame, group: str, prop_a: str, prop_b: str, combiners: tuple[str, ...], centres: list[float], smear: float, value: str = "distance") -> DataFrame:
-    """(group, combiner, bin, weight): the sum over pairs of the combined property times exp(-smear * (distance - centre) squared)."""
-    long = pairs.select(group, value, F.explode(F.array(*[F.struct(F.lit(c).alias("combiner"), COMBINERS[c](F.col(prop_a), F.col(prop_b)).cast("double").alias("p")) for c in combiners])).alias("c"))
-    bins = long.select(group, value, "c.combiner", "c.p", F.posexplode(F.array(*[F.lit(float(c)) for c in centres])).alias("bin", "centre"))
-    off = F.col(value) - F.col("centre")
-    return bins.groupBy(group, "combiner", "bin").agg(F.sum(F.col("p") * F.exp(-F.lit(smear) * off * off)).alias("weight"))
+    """(group, combiner, bin, weight): the sum over pairs of the combined property times exp(-smear * (distance - centre) squared).
+
+    All sums are taken in one aggregate over the pairs and only its rows, one a group, are spread to the long form. A group without pairs has no row.
+    """
+    own = pairs.select(group, *[COMBINERS[c](F.col(prop_a), F.col(prop_b)).cast("double").alias(f"p{i}") for i, c in enumerate(combiners)], *[F.exp(-F.lit(smear) * (F.col(value) - c) * (F.col(value) - c)).alias(f"w{j}") for j, c in enumerate(centres)])
+    sums = own.groupBy(group).agg(*[F.sum(F.col(f"p{i}") * F.col(f"w{j}")).alias(f"s{i}_{j}") for i in range(len(combiners)) for j in range(len(centres))])
+    spread = F.array(*[F.struct(F.lit(c).alias("combiner"), F.lit(j).alias("bin"), F.col(f"s{i}_{j}").alias("weight")) for i, c in enumerate(combiners) for j in range(len(centres))])
+    return sums.select(group, F.explode(spread).alias("x")).select(group, "x.combiner", "x.bin", "x.weight")
 
 
 def within(pairs: DataFrame, cutoff: float, lower: float, value: str = "distance") -> DataFrame:
@@ -129,5 +155,30 @@ def box_side(points: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     return met.groupBy(group).agg(F.max(distance(F.col(f"{vector}_a"), F.col(f"{vector}_b"))).alias("side"))
 
 
+def radius_neighbours(structures: DataFrame, sites: DataFrame, cutoff: float) -> DataFrame:
+    """(struct_id, site_id, other, i, j, k, distance): the images of all sites within a distance of each site, itself left out.
+
+    structures: (struct_id, lattice of three row vectors); sites: (struct_id, site_id, x, y, z). Along each axis as many cells are searched as
+    reach the cutoff by the cell's perpendicular width and the spread of the sites; a structure's sites and images must fit a task.
+    """
+    v = [[F.col("lattice")[r][c] for c in range(3)] for r in range(3)]
+    cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
+    dot = lambda p, q: sum((x * y for x, y in zip(p, q)), F.lit(0.0))
+    normal = [cross(v[1], v[2]), cross(v[2], v[0]), cross(v[0], v[1])]
+    volume = F.abs(dot(v[0], normal[0]))
+    placed = sites.select(F.col("struct_id").alias("s"), "site_id", "x", "y", "z").join(structures.select("struct_id", "lattice"), F.col("s") == F.col("struct_id"))
+    at = [dot([F.col(c) for c in "xyz"], n) / volume for n in normal]
+    cells = placed.groupBy(F.col("s").alias("cs")).agg(F.first("lattice").alias("cell"), *[F.max(F.ceil(F.lit(cutoff) / (volume / F.sqrt(dot(n, n)))).cast("int")).alias(f"n{r}") for r, n in enumerate(normal)], *[F.ceil(F.max(f) - F.min(f)).cast("int").alias(f"w{r}") for r, f in enumerate(at)])
+    image = sites.select(F.col("struct_id").alias("is"), F.col("site_id").alias("other"), *[F.col(c).alias(f"{c}0") for c in "xyz"]).join(cells, F.col("is") == F.col("cs"))
+    for r, n in enumerate("ijk"):
+        most = F.col(f"n{r}") + F.col(f"w{r}")
+        image = image.withColumn(n, F.explode(F.sequence(-most, most)))
+    moved = [(F.col(f"{c}0") + sum((F.col(n) * F.col("cell")[r][x] for r, n in enumerate("ijk")), F.lit(0.0))).alias(f"{c}2") for x, c in enumerate("xyz")]
+    image = image.select("is", "other", "i", "j", "k", *moved)
+    met = sites.select("struct_id", "site_id", "x", "y", "z").join(image, F.col("struct_id") == F.col("is")).where("site_id <> other or i <> 0 or j <> 0 or k <> 0")
+    d = F.sqrt(sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0)))
+    return met.withColumn("distance", d).where(F.col("distance") <= cutoff).select("struct_id", "site_id", "other", "i", "j", "k", "distance")
+
+
 def rank_within(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -47,6 +47,40 @@ def take_positions(df: DataFrame, row_id: str, positions: DataFrame) -> DataFram
     return df.join(own, F.col(row_id) == F.col("__row")).drop("__row", row_id).withColumnRenamed("__pos", row_id)
 
 
+def take_columns(df: DataFrame, row_id: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(pos, columns) of the rows at positions (pos, row_id): labels, years, densities or file names of a subset, in its order."""
+    own = rows.select(F.col("pos").alias("__pos"), F.col("row_id").alias("__row"))
+    return df.join(own, F.col(row_id) == F.col("__row")).select(F.col("__pos").alias("pos"), *[F.col(f"`{c}`") for c in columns])
+
+
+def renamed(df: DataFrame, parts: dict[str, str]) -> DataFrame:
+    """df with the parts of its column names replaced, one after the other."""
+    names = {c: c for c in df.columns}
+    for old, new in parts.items():
+        names = {c: n.replace(old, new) for c, n in names.items()}
+    return df.withColumnsRenamed(names)
+
+
+def with_elements(sites: DataFrame, key: str, symbol: str, symbols: list[str]) -> DataFrame:
+    """(key, symbol): the sites whose symbol is in the list; a key without one has a single null."""
+    own = sites.where(F.col(symbol).isin(symbols)).select(F.col(key).alias("__k"), F.col(symbol).alias("__s"))
+    return sites.select(key).distinct().join(own, F.col(key) == F.col("__k"), "left").select(key, F.col("__s").alias(symbol))
+
+
+def members_of(links: DataFrame, nodes: DataFrame, pattern: str, group: str) -> DataFrame:
+    """The nodes (node, name) that links (node, of) put into a group of nodes whose name is like the pattern: a provenance query. group: the group's column in the result."""
+    groups = nodes.where(F.col("name").like(pattern)).select(F.col("node").alias("__g"), F.col("name").alias(group))
+    return links.join(groups, F.col("of") == F.col("__g")).select(F.col("node").alias("__n"), group).join(nodes, F.col("node") == F.col("__n")).drop("__n")
+
+
+def flat(df: DataFrame, column: str) -> DataFrame:
+    """df with a column of nested arrays, however deep, as one array."""
+    kind = df.schema[column].dataType
+    while isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+        df, kind = df.withColumn(column, F.flatten(column)), kind.elementType
+    return df
+
+
 def where_flavor(df: DataFrame, flavor: str) -> DataFrame:
     return df.where(F.col(f"`flavor.{flavor}`"))
 

@@ -21,6 +21,14 @@ def diagram_stats(diagrams: DataFrame, by: list[str], names: tuple[str, ...]) ->
     return long.groupBy(*by, "quantity").agg(*[F.coalesce(AGGREGATORS[n](F.col("v")).cast("double"), F.lit(0.0)).alias(n) for n in names])
 
 
+def by_persistence(diagrams: DataFrame, by: list[str], key: str) -> DataFrame:
+    """The diagrams' points with their order from 1 in each diagram, the most persistent first, ties by key. Points without a finite persistence come last."""
+    from pyspark.sql import Window
+
+    own = with_persistence(diagrams)
+    return own.withColumn("order", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("persistence").desc_nulls_last(), key)))
+
+
 def diagram_histogram(diagrams: DataFrame, by: list[str], nx: int, ny: int, y: str = "persistence") -> DataFrame:
     return histogram2d(with_persistence(diagrams), by, "birth", y, nx, ny)
 

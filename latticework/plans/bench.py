@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.plans.metrics import REGRESSION, TOPS, mean_and_std, predict_group_mean, regression_metrics, top_n_in_top_k
+from latticework.plans.splits import fold_grouped, quantile_bin
 from latticework.shared import written
 
 REPORT = """name string, task string, version string, features string, model_type string, reference string, implementation string, report_id string, start_time string, end_time string,
@@ -34,7 +35,7 @@ class Task:
     k: int = 5
 
 
-#: (task, label column, group column or density bins) of the four published tasks.
+# Fixed values: (task, label column, group column or number of density edges) of the four published tasks.
 TASKS = {
     "CH4DC_ID": ("outputs.CH4DC", "info.undecorated_scaffold_hash", None),
     "LogKHCO2_ID": ("outputs.logKH_CO2", "info.undecorated_scaffold_hash", None),
@@ -80,6 +81,28 @@ def report_id(name: Column, implementation: Column, stamp: Column) -> Column:
     return F.concat(F.lit("R"), F.substring(name, 1, 4), F.substring(digest, 1, 4), stamp)
 
 
+def report_id_of_parts(name: Column, features: Column, model_type: Column, reference: Column, whole: Column, stamp: Column) -> Column:
+    """The id of a report: two letters of each of four fields, of the digest of the whole report where a field is null or empty, and the time. Slashes and spaces are replaced."""
+    digest = F.translate(F.base64(F.unhex(F.sha1(whole.cast("binary")))), "+/", "-_")
+    part = lambda c, i: F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.substring(c, 1, 2)).otherwise(F.substring(digest, 1 + 2 * i, 2))
+    return F.translate(F.concat(F.lit("R"), *[part(c, i) for i, c in enumerate((name, features, model_type, reference))], stamp), "/ ", "-_")
+
+
+def task_of(name: str, k: int = 5, seed: int = 0) -> Task:
+    """A published task, to be run on the frame of its dataset: folds of whole groups of equal hashes, or of density bins."""
+    label, group, bins = TASKS[name]
+    if group:
+        return Task(name, label, lambda df, k: fold_grouped(df, f"`{group}`", k, seed), k)
+    edges = tuple(i / (bins - 1) for i in range(bins))
+    return Task(name, label, lambda df, k: fold_grouped(quantile_bin(df, "`info.density`", edges, "__bin"), "__bin", k, seed).drop("__bin"), min(k, bins - 1))
+
+
+def timings(reports: DataFrame) -> DataFrame:
+    """(task, name, means and population deviations) of fit and inference times over folds."""
+    long = reports.select("task", "name", F.explode(F.arrays_zip("metrics.fit_timings", "metrics.inference_timings")).alias("t")).select("task", "name", "t.fit_timings", "t.inference_timings")
+    return mean_and_std(long, ("fit_timings", "inference_timings"), ["task", "name"])
+
+
 def run(spark: SparkSession, task: Task, df: DataFrame, model, key: str, name: str, **about: str) -> DataFrame:
     """One row of REPORT: the model fitted and scored k times, a fold held out each time.
 

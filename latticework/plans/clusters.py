@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.plans.splits import fold_stratified, split_grouped, split_stratified
+from latticework.plans.splits import downsample, fold_stratified, split_grouped, split_stratified
 
 
 def clustered(df: DataFrame, features: str, clusters: int, components: int | None = 8, scaled: bool = True, seed: int = 0) -> DataFrame:
@@ -46,6 +46,20 @@ def leave_cluster_out(df: DataFrame, features: str, parts: int = 3, seed: int =
     return own.withColumn("split", F.coalesce(to[F.col("cluster")], F.lit("train")))
 
 
+def leave_cluster_out_folds(df: DataFrame, key: str, features: str, k: int, sample_frac: float = 1.0, seed: int = 0) -> DataFrame:
+    """(the rows, fold, split) of k folds in long form: in fold i cluster i tests and the others train, or the other way round where the cluster is the larger part."""
+    own = clustered(df, features, k, seed=seed)
+    n = {r.cluster: r.n for r in own.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    larger = [c for c, m in n.items() if 2 * m > total]
+    long = own.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in sorted(n)])))
+    tests = (F.col("cluster") == F.col("fold")) != F.col("fold").isin(larger)
+    out = long.withColumn("split", F.when(tests, "test").otherwise("train"))
+    if sample_frac < 1:
+        out = downsample(out.withColumn("__part", F.concat_ws("#", "fold", "split")), key, "__part", sample_frac, seed).drop("__part")
+    return out
+
+
 def diagram_vectors(points: DataFrame, key: str, columns: list[str], components: int, seed: int = 0) -> DataFrame:
     """(key, weights): the mean posterior of a Gaussian mixture, fitted on the points of all keys, over a key's points."""
     own = points.withColumn("__v", array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])))

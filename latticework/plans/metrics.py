@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.plans.splits import fold_stratified
@@ -64,15 +64,11 @@ def auc_by_rank(df: DataFrame, score: str, label: str) -> DataFrame:
 
     Only distinct scores are ranked, by range and prefix sums.
     """
-    from latticework.shared import ranked
+    from latticework.shared import running
 
     count = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"))
-    own = ranked(count, "s").withColumn("block", F.floor(F.col("rank") / 4096))
-    per = own.groupBy("block").agg(F.sum("neg").alias("bneg"))
-    per = per.select(F.col("block").alias("b"), (F.sum("bneg").over(Window.orderBy("block")) - F.col("bneg")).alias("before"))
-    inner = F.sum("neg").over(Window.partitionBy("block").orderBy("rank")) - F.col("neg")
-    met = own.withColumn("inner", inner).join(per, F.col("block") == F.col("b"))
-    return met.agg((F.sum(F.col("pos") * (F.col("before") + F.col("inner") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    own = running(count, "s", "neg")
+    return own.agg((F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
 def labelled_union(a: DataFrame, b: DataFrame, label: str = "label") -> DataFrame:
@@ -99,13 +95,10 @@ def pearson(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the average rank of a column's values, equal ones alike: the distinct values are ranked, not the rows."""
-    from latticework.shared import ranked
+    from latticework.shared import running
 
     count = df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__c"))
-    own = ranked(count, "__v", name="__r").withColumn("__b", F.floor(F.col("__r") / 4096))
-    per = own.groupBy("__b").agg(F.sum("__c").alias("__s")).select(F.col("__b").alias("__bb"), (F.sum("__s").over(Window.orderBy("__b")) - F.col("__s")).alias("__before"))
-    inner = F.sum("__c").over(Window.partitionBy("__b").orderBy("__r")) - F.col("__c")
-    rank = own.withColumn("__i", inner).join(per, F.col("__b") == F.col("__bb")).select("__v", (F.col("__before") + F.col("__i") + (F.col("__c") + 1) / 2).alias(name))
+    rank = running(count, "__v", "__c").select("__v", (F.col("before___c") + (F.col("__c") + 1) / 2).alias(name))
     return df.join(rank, F.col(column).eqNullSafe(F.col("__v"))).drop("__v")
 
 

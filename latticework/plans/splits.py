@@ -5,11 +5,13 @@ Randomness is the order of md5(seed:key): the same on every run, partitioning an
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.shared import quantiles, ranked
+from latticework.shared import quantiles, ranked, running, written
 
 QUARTERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -150,29 +152,41 @@ def fold_grouped(df: DataFrame, group: str, k: int, seed: int = 0) -> DataFrame:
     return df.join(own, F.col(group) == F.col("__g")).drop("__g")
 
 
-def fold_grouped_even(df: DataFrame, group: str, k: int) -> DataFrame:
+def fold_grouped_even(df: DataFrame, group: str, k: int, parts: int = 1000) -> DataFrame:
     """df with a column fold; the largest group goes to the lightest fold, one after the other.
 
-    A sequence of choices: the table of groups and their sizes, not the rows, is sorted and dealt in one task.
+    This is done one by one for the groups of more than a parts-th of a fold's share, of which there are k * parts at most. The small ones
+    behind them fill up the folds: in the order of their sizes, by the running sum of these, each fold takes what it lacks.
     """
-    count = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
-
-    def deal(batches):
-        import heapq
-
-        import pandas as pd
-
-        all_groups = pd.concat(list(batches), ignore_index=True)
-        all_groups = all_groups.sort_values(["__n", "__g"], ascending=[False, True])
-        heap = [(0, i) for i in range(k)]
-        folds = []
-        for n in all_groups["__n"]:
-            weight, fold = heapq.heappop(heap)
-            folds.append(fold)
-            heapq.heappush(heap, (weight + n, fold))
-        yield pd.DataFrame({"__g": all_groups["__g"], "fold": folds})
-
-    dealt = count.coalesce(1).mapInPandas(deal, f"__g {count.schema['__g'].dataType.simpleString()}, fold int")
+    count = written(df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n")), "groups")
+    total = count.agg(F.sum("__n")).first()[0] or 0
+    large = F.col("__n") * k * parts > total
+    heavy = [(r["__g"], r["__n"]) for r in count.where(large).collect()]
+    heap = [(0, i) for i in range(k)]
+    rows = []
+    for name, n in sorted(heavy, key=lambda x: (-x[1], x[0])):
+        weight, fold = heapq.heappop(heap)
+        rows.append((name, fold))
+        heapq.heappush(heap, (weight + n, fold))
+    kind = T.StructType([T.StructField("__g", count.schema["__g"].dataType), T.StructField("fold", T.IntegerType())])
+    dealt = df.sparkSession.createDataFrame(rows, kind)
+    small = count.where(~large)
+    if len(heavy) < count.count():
+        # Where a fold is over its share already, it takes none; the others take the small groups up to equal weight.
+        weights = dict((i, w) for w, i in heap)
+        level, room = total / k, {}
+        for i in range(k):
+            room[i] = max(0.0, level - weights[i])
+        scale = (total - sum(weights.values())) / (sum(room.values()) or 1)
+        ends, at = [], 0.0
+        for i in range(k):
+            at += room[i] * scale
+            ends.append((i, at))
+        own = running(small.withColumn("__o", F.format_string("%020d#%s", F.lit((1 << 62)) - F.col("__n"), F.col("__g").cast("string"))), "__o", "__n")
+        fold = F.lit(k - 1)
+        for i, end in reversed(ends[:-1]):
+            fold = F.when(F.col("before___n") < end, i).otherwise(fold)
+        dealt = dealt.union(own.select("__g", fold.cast("int").alias("fold")))
     return df.join(dealt, F.col(group) == F.col("__g")).drop("__g")
 
 
@@ -193,3 +207,52 @@ def relabel_by_size(df: DataFrame, split: str = "split", names: tuple[str, ...]
     count = sorted(df.groupBy(split).agg(F.count("*").alias("n")).collect(), key=lambda r: (-r.n, r[split]))
     to = F.create_map(*[F.lit(x) for r, name in zip(count, names) for x in (r[split], name)])
     return df.withColumn(split, to[F.col(split)])
+
+
+def with_split(df: DataFrame, key: str, train: float = 0.7, valid: float = 0.0, seed: int = 0, group: str | None = None, stratum: str | None = None, sample_frac: float = 1.0, categorical: bool | None = None, q: tuple[float, ...] = QUARTERS, by_size: bool = False) -> DataFrame:
+    """df with a column split, by what is given: groups in strata, groups, strata, or rows; then sample_frac of each split, and splits named by size if asked.
+
+    A stratum column of classes is taken as it is, a continuous one in quantile bins; categorical says which, where the type doesn't.
+    """
+    classes = stratum is not None and (is_categorical(df, stratum) if categorical is None else categorical)
+    if group and stratum:
+        out = split_grouped_stratified(df, group, stratum, train, valid, seed, q, classes)
+    elif group:
+        out = split_grouped(df, group, train, valid, seed)
+    elif stratum:
+        own = df.withColumn("__stratum", F.col(stratum)) if classes else quantile_bin(df, stratum, q, "__stratum")
+        out = split_stratified(own, key, "__stratum", train, valid, seed).drop("__stratum")
+    else:
+        out = split_random(df, key, train, valid, seed)
+    if sample_frac < 1:
+        out = downsample(out, key, "split", sample_frac, seed)
+    return relabel_by_size(out) if by_size else out
+
+
+def with_fold(df: DataFrame, key: str, k: int = 5, seed: int = 0, group: str | None = None, stratum: str | None = None, categorical: bool | None = None, q: tuple[float, ...] = QUARTERS) -> DataFrame:
+    """df with a column fold, by what is given: groups in strata, even groups, strata, or rows."""
+    classes = stratum is not None and (is_categorical(df, stratum) if categorical is None else categorical)
+    if group and stratum:
+        return fold_grouped_stratified(df, group, stratum, k, seed, q)
+    if group:
+        return fold_grouped_even(df, group, k)
+    if stratum:
+        own = df.withColumn("__stratum", F.col(stratum)) if classes else quantile_bin(df, stratum, q, "__stratum")
+        return fold_stratified(own, key, "__stratum", k, seed).drop("__stratum")
+    return fold_plain(df, key, k, seed)
+
+
+def split_by_order(ordered: DataFrame, order: str, train: float, valid: float = 0.0, ascending: bool = False) -> DataFrame:
+    """ordered, numbered from 0 in a column, with a column split: the first share of an order such as a farthest-first one trains; ascending turns the order round."""
+    n = ordered.count()
+    at = (n - 1 - F.col(order)) if ascending else F.col(order)
+    a, b = int(n * train), int(n * valid)
+    return ordered.withColumn("split", _label(at, F.lit(a), F.lit(b)))
+
+
+def fold_by_order(ordered: DataFrame, order: str, k: int) -> DataFrame:
+    """ordered with a column fold: k blocks of the order whose sizes differ by one at most, the larger first."""
+    small, more = divmod(ordered.count(), k)
+    at = F.col(order)
+    fold = F.when(at < more * (small + 1), F.floor(at / (small + 1))).otherwise(more + F.floor((at - more * (small + 1)) / max(small, 1)))
+    return ordered.withColumn("fold", fold.cast("int"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a private folder is made only where none is set, as in tests."""
+    """spark.checkpoint.dir. Where none is set, a private folder is made for a local master; on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="latticework-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -46,6 +48,28 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame
     return own.withColumn(name, (offset + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__at")
 
 
+def running(df: DataFrame, order: str, *values: str) -> DataFrame:
+    """df with rank, from 0, and before_<value>, the sum of a value over the rows before, in the order of a column without equal values.
+
+    As ranked(): sums inside a range's partition, and before it those of the partitions, one row a partition on the driver.
+    """
+    part = F.shiftright("__at", 33)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = written(df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()), "running")
+    sums = sorted(tuple(r) for r in own.groupBy(part.alias("p")).agg(F.count("*").alias("n"), *[F.sum(v) for v in values]).collect())
+    total = [0] * (1 + len(values))
+    base: list[list[Column]] = [[] for _ in total]
+    for p, *n in sums:
+        for i, x in enumerate(n):
+            base[i] += [F.lit(p), F.lit(total[i])]
+            total[i] += x or 0
+    start = lambda i: F.create_map(*base[i])[part] if base[i] else F.lit(0)
+    inside = Window.partitionBy(part).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    out = own.select("*", (start(0) + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("long").alias("rank"), *[(start(i) + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"before_{v}") for i, v in enumerate(values, 1)])
+    return out.drop("__at")
+
+
 def quantiles(df: DataFrame, column: str, q: tuple[float, ...]) -> list[float]:
     """Exact quantiles of a column with linear interpolation, over non-null values; nulls if there are none."""
     own = ranked(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), "v")
