@@ -56,7 +56,7 @@ def mean_and_std(folds: DataFrame, names: tuple[str, ...], by: list[str] | None
 
 def concatenated(folds: DataFrame, names: tuple[str, ...], fold: str = "fold") -> DataFrame:
     """Each metric's values over folds, in their order."""
-    return folds.agg(*[F.transform(F.array_sort(F.collect_list(F.struct(fold, n))), lambda s, n=n: s.getField(n)).alias(n) for n in names])
+    return folds.agg(*[F.array_sort(F.collect_list(F.struct(fold, n))).getField(n).alias(n) for n in names])
 
 
 def auc_by_rank(df: DataFrame, score: str, label: str) -> DataFrame:
