@@ -279,10 +279,11 @@ def order_splits(spark, sf):
     return splits.fold_by_order(splits.split_by_order(own, "order", 0.7, 0.1), "order", 3).select("o_orderkey", "split", "fold")
 
 
-@query("SELECT list(m ORDER BY year) AS mae, list(x ORDER BY year) AS largest FROM (SELECT year(o_orderdate) AS year, round(avg(o_totalprice), 4) AS m, round(max(o_totalprice), 4) AS x FROM orders GROUP BY 1)")
+@query("SELECT CAST(row_number() OVER (ORDER BY year(o_orderdate)) - 1 AS INTEGER) AS pos, round(avg(o_totalprice), 4) AS mae, round(max(o_totalprice), 4) AS largest FROM orders GROUP BY year(o_orderdate)")
 def metrics_of_folds(spark, sf):
-    folds = orders(spark, sf).groupBy("year").agg(F.round(F.avg("o_totalprice"), 4).alias("mae"), F.round(F.max("o_totalprice"), 4).alias("largest"))
-    return metrics.concatenated(folds, ("mae", "largest"), "year")
+    folds = orders(spark, sf).groupBy("year").agg(F.avg("o_totalprice").alias("mae"), F.max("o_totalprice").alias("largest"))
+    lists = metrics.concatenated(folds, ("mae", "largest"), "year")
+    return rounded(lists.select(F.posexplode(F.arrays_zip("mae", "largest")).alias("pos", "m")).select("pos", "m.mae", "m.largest"), 4, "mae", "largest")
 
 
 @query("""WITH e AS (SELECT DISTINCT l_orderkey AS g, l_linenumber AS a, 100 + l_partkey % 5 AS b FROM lineitem), x AS (SELECT g, a AS i, b AS j FROM e UNION SELECT g, b, a FROM e), l AS (SELECT g, i FROM x GROUP BY 1, 2 HAVING count(*) = 1)
