@@ -51,18 +51,17 @@ COMBINERS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def aggregate(df: DataFrame, by: list[str], column: str, names: tuple[str, ...] = NAMES, mask: Column | None = None) -> DataFrame:
+def aggregate(df: DataFrame, by: list[str], column: str, names: tuple[str, ...] = NAMES, mask: Column | None = None, spoil: bool = False) -> DataFrame:
     """One row for each group with a column for each aggregate of `names`.
 
-    mask: rows for which it is true don't count, but for UNMASKED, and values that are NaN count as null; without a mask a NaN spoils its group.
+    mask: rows for which it is true don't count, but for UNMASKED, and values that are NaN count as null. spoil: without a mask a NaN makes every aggregate of its group one, as in plain array arithmetic.
     Medians and quartiles are exact; a group's distinct values must fit a task, as a structure's do.
     """
     plain = F.col(column).cast("double")
     value = F.nanvl(plain, F.lit(None).cast("double"))
     shown = F.when(~mask, value) if mask is not None else value
     own = df.select(*by, value.alias("__all"), shown.alias("__x"), F.isnan(plain).alias("__nan"))
-    # Without a mask a NaN makes every aggregate of its group one.
-    spoilt = lambda c: c if mask is not None else F.when(F.max(F.col("__nan").cast("int")) == 1, F.lit(float("nan"))).otherwise(c)
+    spoilt = lambda c: c if mask is not None or not spoil else F.when(F.max(F.col("__nan").cast("int")) == 1, F.lit(float("nan"))).otherwise(c)
     simple = [spoilt(AGGREGATORS[n](F.col("__all" if n in UNMASKED else "__x"))).alias(n) for n in names if n != "mad"]
     if "mad" not in names:
         return own.groupBy(*by).agg(*simple)

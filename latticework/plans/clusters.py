@@ -46,9 +46,9 @@ def leave_cluster_out(df: DataFrame, features: str, parts: int = 3, seed: int =
     return own.withColumn("split", F.coalesce(to[F.col("cluster")], F.lit("train")))
 
 
-def leave_cluster_out_folds(df: DataFrame, key: str, features: str, k: int, sample_frac: float = 1.0, seed: int = 0) -> DataFrame:
+def leave_cluster_out_folds(df: DataFrame, key: str, features: str, k: int, sample_frac: float = 1.0, components: int | None = 8, seed: int = 0) -> DataFrame:
     """(the rows, fold, split) of k folds in long form: in fold i cluster i tests and the others train, or the other way round where the cluster is the larger part."""
-    own = clustered(df, features, k, seed=seed)
+    own = clustered(df, features, k, components, seed=seed)
     n = {r.cluster: r.n for r in own.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     total = sum(n.values())
     larger = [c for c, m in n.items() if 2 * m > total]

@@ -184,7 +184,7 @@ def graph_walk_neighbours(spark, sf):
     return outs[0].union(outs[1]).union(outs[2])
 
 
-@query(f"""WITH {EDGES}, w AS (SELECT DISTINCT a.i AS s, b.j FROM e a JOIN e b ON a.j = b.i WHERE a.i >= 2000000 AND b.j <> a.i AND b.j >= 2000000),
+@query(f"""WITH {EDGES}, w AS (SELECT DISTINCT a.i AS s, b.j FROM e a JOIN e b ON a.j = b.i WHERE a.i >= 2000000 AND b.j < 1000000),
 x AS (SELECT s % 3 AS block, (s % 11) * (j % 11) AS p, abs(j % 11 - s % 11) AS d FROM w),
 b AS (SELECT block, 'product' AS combiner, CAST(sum(p) AS DOUBLE) AS s, avg(p) AS a FROM x GROUP BY 1 UNION ALL SELECT block, 'diff', CAST(sum(d) AS DOUBLE), avg(d) FROM x GROUP BY 1)
 SELECT combiner, pair_agg, block_agg, round(v, 4) AS value FROM (SELECT combiner, 'sum' AS pair_agg, 'avg' AS block_agg, avg(s) AS v FROM b GROUP BY 1 UNION ALL SELECT combiner, 'sum', 'sum', sum(s) FROM b GROUP BY 1
@@ -192,7 +192,7 @@ UNION ALL SELECT combiner, 'avg', 'avg', avg(a) FROM b GROUP BY 1 UNION ALL SELE
 def rac_nested_agg(spark, sf):
     edges = _edges(spark, sf)
     start = edges.where("i >= 2000000").select(F.col("i").alias("start")).distinct()
-    ends = graph.walk_ends(edges, 2, start=start).where("end >= 2000000").withColumn("block", F.col("start") % 3).withColumn("g", F.lit(0))
+    ends = graph.walk_ends(edges, 2, start=start).where("end < 1000000").withColumn("block", F.col("start") % 3).withColumn("g", F.lit(0))
     values = edges.select(F.lit(0).alias("g"), F.col("i").alias("node"), (F.col("i") % 11).alias("value")).distinct()
     return rounded(graph.autocorrelations(ends, values, ["g"], "block", ("product", "diff"), ("sum", "avg"), ("avg", "sum")).drop("g"), 4, "value")
 

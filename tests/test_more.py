@@ -59,7 +59,7 @@ def test_orders_as_splits_and_folds(spark):
 
 def test_cluster_folds(spark):
     rows = [(i, [0.0, float(i % 3)]) for i in range(30)] + [(100 + i, [50.0, float(i % 2)]) for i in range(8)] + [(200 + i, [-90.0, 4.0 + i % 2]) for i in range(6)]
-    got = clusters.leave_cluster_out_folds(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 3).collect()
+    got = clusters.leave_cluster_out_folds(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 3, components=None).collect()
     assert len(got) == 3 * len(rows)
     sizes = {}
     for x in got:
@@ -81,7 +81,7 @@ def test_dispatch(spark):
 def test_nan_spoils_plain_aggregates_and_not_masked_ones(spark):
     df = spark.createDataFrame([(1, 2.0), (1, math.nan), (2, 3.0), (2, 5.0)], "k long, x double")
     names = ("sum", "min", "max", "median", "mad")
-    plain = {r.k: r for r in aggregate(df, ["k"], "x", names).collect()}
+    plain = {r.k: r for r in aggregate(df, ["k"], "x", names, spoil=True).collect()}
     assert all(math.isnan(plain[1][n]) for n in names) and plain[2]["min"] == 3 and plain[2]["mad"] == 1
     masked = {r.k: r for r in aggregate(df, ["k"], "x", names, F.lit(False)).collect()}
     assert masked[1]["sum"] == 2 and masked[2]["max"] == 5
