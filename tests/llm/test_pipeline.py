@@ -45,3 +45,25 @@ def test_registered(spark):
     names = entry.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
     assert pq  # the fixture's writer
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null and repeated ids, columns whose names clash with those of the stages, a long text, and an empty table."""
+    at = str(tmp_path)
+    r = random.Random(7)
+    make = lambda n: " ".join("".join(r.choice(["the", "an", "ing", "er"]) for _ in range(3)) for _ in range(n))
+    long = make(60_000)
+    rows = [(None, make(40)), (None, make(40)), (3, make(50)), (3, make(50)), (4, long), (5, long), (6, None), (7, "")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id string, score string, n_lines int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", "b", "c", 1) for i, t in rows], kind)
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    own = spark.read.parquet(f"{at}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        own = stage(spark, own, at)
+        assert own.columns == docs.columns, name
+    made = corpus_pipeline.run(spark, at).toPandas()
+    whole = made[made.start == 0].doc_id
+    assert sorted(whole.dropna().astype(int)) == [3, 3, 4, 5] and whole.isna().sum() == 2
+    docs.limit(0).write.mode("overwrite").parquet(f"{at}/documents.parquet")
+    assert corpus_pipeline.run(spark, at).count() == 0
