@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.functions.aggregators import COMBINERS
+from latticework.operators import tiles
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
@@ -125,20 +126,35 @@ def average_minimum_distances(pairs: DataFrame, key: str, by: list[str], k: int)
     return near.groupBy(*[F.col(f"site.{c}").alias(c) for c in by], "rank").agg(F.avg("distance").alias("mean_distance"))
 
 
-def weighted_pair_histogram(pairs: DataFrame, group: str, prop_a: str, prop_b: str, combiners: tuple[str, ...], centres: list[float], smear: float, value: str = "distance") -> DataFrame:
-    """(group, combiner, bin, weight): the sum over pairs of the combined property times exp(-smear * (distance - centre) squared).
+def weighted_pair_histogram(points: DataFrame, group: str, key: str, vector: str, prop: str, combiners: tuple[str, ...], centres: list[float], smear: float, cutoff: float, lower: float) -> DataFrame:
+    """(group, combiner, bin, weight): the sum over a group's pairs strictly between two distances of the combined property times exp(-smear * (distance - centre) squared).
 
-    All sums are taken in one aggregate over the pairs and only its rows, one a group, are spread to the long form. A group without pairs has no row.
+    Each tile of pairs leaves one row with its sums. A group without such pairs has no row; a pair with a null property adds nothing.
     """
-    own = pairs.select(group, *[COMBINERS[c](F.col(prop_a), F.col(prop_b)).cast("double").alias(f"p{i}") for i, c in enumerate(combiners)], *[F.exp(-F.lit(smear) * (F.col(value) - c) * (F.col(value) - c)).alias(f"w{j}") for j, c in enumerate(centres)])
-    sums = own.groupBy(group).agg(*[F.sum(F.col(f"p{i}") * F.col(f"w{j}")).alias(f"s{i}_{j}") for i in range(len(combiners)) for j in range(len(centres))])
-    spread = F.array(*[F.struct(F.lit(c).alias("combiner"), F.lit(j).alias("bin"), F.col(f"s{i}_{j}").alias("weight")) for i, c in enumerate(combiners) for j in range(len(centres))])
-    return sums.select(group, F.explode(spread).alias("x")).select(group, "x.combiner", "x.bin", "x.weight")
-
 
-def within(pairs: DataFrame, cutoff: float, lower: float, value: str = "distance") -> DataFrame:
-    """Pairs strictly between two distances."""
-    return pairs.where((F.col(value) < cutoff) & (F.col(value) > lower))
+    def fold(a: tiles.Block, b: tiles.Block, same: bool) -> dict:
+        sums, n = np.zeros((len(combiners), len(centres))), 0
+        for i, j, d, mask in tiles.chunks(a, b, same, near=tiles.near_limits(cutoff, lower)):
+            inside = (d < cutoff) & (d > lower)
+            if mask is not None:
+                inside &= mask
+            n += int(np.count_nonzero(inside))
+            props = [np.where(inside, tiles.combined(c, a, b, i, j, (prop, prop), True), 0.0).ravel() for c in combiners]
+            props = [np.nan_to_num(p, copy=False, nan=0.0, posinf=np.inf, neginf=-np.inf) for p in props]
+            d[~inside] = 0.0
+            for y, centre in enumerate(centres):
+                w = d - centre
+                w *= w
+                w *= -smear
+                np.exp(w, out=w)
+                for x, p in enumerate(props):
+                    sums[x, y] += np.dot(p, w.ravel())
+        return {"n": [n], "sums": [sums.ravel().tolist()]} if n else {}
+
+    met = tiles.tiles(points, group, key, vector, fold, "n long, sums array<double>", columns=(prop,))
+    sums = met.groupBy(group).agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(len(combiners) * len(centres))])
+    spread = F.array(*[F.struct(F.lit(c).alias("combiner"), F.lit(j).alias("bin"), F.col(f"s{i * len(centres) + j}").alias("weight")) for i, c in enumerate(combiners) for j in range(len(centres))])
+    return sums.select(group, F.explode(spread).alias("x")).select(group, "x.combiner", "x.bin", "x.weight")
 
 
 def nearest_point(points: DataFrame, x: float, y: float, by: list[str], name: str, birth: str = "birth", persistence: str = "persistence") -> DataFrame:

@@ -113,6 +113,10 @@ VECTORS = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embedding
 PAIRS = f"v AS ({VECTORS}), p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id)"
 
 
+def _vectors(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("e"))
+
+
 def _pairs(spark, sf):
     own = t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     return pairs.pairs_within(own, "label", "vec_id", "e").withColumn("distance", pairs.distance(F.col("e_a"), F.col("e_b")))
@@ -137,8 +141,8 @@ SELECT label, combiner, CAST(bin AS INTEGER) AS bin, round(sum(w * exp(-10 * (d
   SELECT label, d, 'avg' AS combiner, (a % 7 + b % 7) / 2.0 AS w FROM p UNION ALL SELECT label, d, 'product', (a % 7) * (b % 7) FROM p UNION ALL SELECT label, d, 'diff', abs(b % 7 - a % 7) FROM p) x, c
 WHERE d < 1.6 AND d > 0.2 GROUP BY 1, 2, 3""")
 def aprdf_weighted_hist(spark, sf):
-    met = pairs.within(_pairs(spark, sf).withColumn("pa", F.col("vec_id_a") % 7).withColumn("pb", F.col("vec_id_b") % 7), 1.6, 0.2)
-    return rounded(pairs.weighted_pair_histogram(met, "label", "pa", "pb", ("avg", "product", "diff"), CENTRES, 10.0), 4, "weight")
+    own = _vectors(spark, sf).withColumn("p", F.col("vec_id") % 7)
+    return rounded(pairs.weighted_pair_histogram(own, "label", "vec_id", "e", "p", ("avg", "product", "diff"), CENTRES, 10.0, 1.6, 0.2), 4, "weight")
 
 
 @query(f"""WITH {PAIRS}, w AS (SELECT label, a AS i, d FROM p UNION ALL SELECT label, b, d FROM p), r AS (SELECT label, i, d, row_number() OVER (PARTITION BY label, i ORDER BY d) AS rank FROM w)
