@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,9 +166,14 @@ def nearest_point(points: DataFrame, x: float, y: float, by: list[str], name: st
 
 
 def box_side(points: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """The side of a molecule's box: its largest distance between two sites."""
-    met = pairs_within(points, group, key, vector)
-    return met.groupBy(group).agg(F.max(distance(F.col(f"{vector}_a"), F.col(f"{vector}_b"))).alias("side"))
+    """The side of a molecule's box: its largest distance between two sites. Null where no pair has one; a NaN is larger than all others."""
+
+    def fold(a: tiles.Block, b: tiles.Block, same: bool) -> dict:
+        most = [float(d.max() if mask is None else d.max(where=mask, initial=-math.inf)) for _, _, d, mask in tiles.chunks(a, b, same)]
+        most = [x for x in most if x > -math.inf or math.isnan(x)]
+        return {"side": [float(np.max(most)) if most else None]} if tiles.pairs_of(a, b, same) else {}
+
+    return tiles.tiles(points, group, key, vector, fold, "side double").groupBy(group).agg(F.max("side").alias("side"))
 
 
 def radius_neighbours(structures: DataFrame, sites: DataFrame, cutoff: float) -> DataFrame:

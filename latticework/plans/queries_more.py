@@ -237,7 +237,7 @@ def bonds_without_metals(spark, sf):
 
 @query(f"WITH v AS ({VECTORS}) SELECT a.label, round(max(list_distance(a.e, b.e)), 6) AS side FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
 def box_sides(spark, sf):
-    own = t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    own = t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("e"))
     return rounded(pairs.box_side(own, "label", "vec_id", "e"), 6, "side")
 
 

@@ -36,3 +36,10 @@ def test_weighted_histogram_of_pairs(spark, small_blocks):
     of = {"product": lambda x, y: x * y, "first": lambda x, y: x}
     want = {(g, c, i): math.fsum(of[c](x[3], y[3]) * math.exp(-3 * (d - m) ** 2) for x, y, d in brute(g) if 0.2 < d < 3) for g in "abc" for c in of for i, m in enumerate((0.5, 2.0))}
     assert got == pytest.approx(want)
+
+
+def test_box_side_of_many_blocks(spark, small_blocks):
+    odd = [("e", "x", [math.nan] + [0.0] * 3, 0), ("e", "y", [1.0] * 4, 0), ("f", "x", None, 0), ("f", "y", [1.0] * 4, 0), ("h", "x", [1e200] + [0.0] * 3, 0), ("h", "y", [0.0] * 4, 0)]
+    got = {r.g: r.side for r in pairs.box_side(spark.createDataFrame(vectors() + odd, SCHEMA).repartition(3), "g", "k", "e").collect()}
+    assert math.isnan(got.pop("e")) and got.pop("f") is None and got.pop("h") == math.inf
+    assert got == pytest.approx({g: max(d for _, _, d in brute(g)) for g in "abc"})
