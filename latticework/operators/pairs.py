@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,19 +114,44 @@ def supercell(points: DataFrame, lattice: tuple[tuple[float, ...], ...], box: fl
     return out
 
 
-def nearest_neighbours(pairs: DataFrame, key: str, k: int, value: str = "distance") -> DataFrame:
-    """The k smallest distances of each key with their rank from 1; pairs hold (key, other, distance) both ways.
+def nearest_neighbours(points: DataFrame, group: str, key: str, vector: str, k: int) -> DataFrame:
+    """(group, key, rank, distance): the k smallest distances of each row to others of its group, ranked from 1; NaN comes after numbers, null after NaN.
 
-    The rank is bounded, so that Spark keeps k rows a key before its shuffle already.
+    A tile leaves k distances a row, and those of a row's tiles meet.
     """
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    return pairs.select(key, value, rank.alias("rank")).where(F.col("rank") <= k).select(key, "rank", value)
 
+    def nearest(a: tiles.Block, b: tiles.Block, same: bool) -> tuple[pa.Array, list]:
+        best, real = np.full((len(a), k), np.nan), np.zeros(len(a), np.int64)
+        for i, j, m in tiles.measured(a, b):
+            for r in range(0, len(i), tiles.ROWS):
+                rows = slice(r, min(r + tiles.ROWS, len(i)))
+                found = [best[i[rows]]]
+                for c in range(0, len(j), tiles.COLUMNS):
+                    cols = slice(c, min(c + tiles.COLUMNS, len(j)))
+                    d, own = m.between(rows, cols, None), 0
+                    if same:
+                        equal = a.code[i[rows]][:, None] == b.code[j[cols]][None, :]
+                        d[equal], own = np.nan, equal.sum(axis=1)
+                    real[i[rows]] += cols.stop - cols.start - own
+                    found.append(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k])
+                best[i[rows]] = np.sort(np.hstack(found), axis=1)[:, :k]
+        _, at, copies = np.unique(a.code, return_inverse=True, return_counts=True)
+        every = len(b) - copies[at] if same else np.full(len(a), len(b))
+        # The places of rows of the same key are NaN and last, so that the first of as many as are real are right.
+        return a.keys, [x[: min(k, n)].tolist() + [None] * (min(k, m) - min(k, n)) for x, n, m in zip(best, real, every)]
 
-def average_minimum_distances(pairs: DataFrame, key: str, by: list[str], k: int) -> DataFrame:
-    """The mean over sites of the distance to the j-th neighbour, for j from 1 to k."""
-    near = nearest_neighbours(pairs.select(F.struct(*by, key).alias("site"), "distance"), "site", k)
-    return near.groupBy(*[F.col(f"site.{c}").alias(c) for c in by], "rank").agg(F.avg("distance").alias("mean_distance"))
+    def fold(a: tiles.Block, b: tiles.Block, same: bool) -> dict:
+        sides = [nearest(a, b, True)] if same else [nearest(a, b, False), nearest(b, a, False)]
+        return {key: pa.concat_arrays([s[0] for s in sides]), "near": [x for s in sides for x in s[1]]}
+
+    met = tiles.tiles(points, group, key, vector, fold, f"`{key}` KEY, near array<double>")
+    best = met.groupBy(group, key).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return best.select(group, key, F.posexplode("near").alias("rank", "distance")).withColumn("rank", F.col("rank") + 1)
+
+
+def average_minimum_distances(points: DataFrame, group: str, key: str, vector: str, k: int) -> DataFrame:
+    """The mean over a group's rows of the distance to the j-th neighbour, for j from 1 to k."""
+    return nearest_neighbours(points, group, key, vector, k).groupBy(group, "rank").agg(F.avg("distance").alias("mean_distance"))
 
 
 def weighted_pair_histogram(points: DataFrame, group: str, key: str, vector: str, prop: str, combiners: tuple[str, ...], centres: list[float], smear: float, cutoff: float, lower: float) -> DataFrame:

@@ -148,9 +148,7 @@ def aprdf_weighted_hist(spark, sf):
 @query(f"""WITH {PAIRS}, w AS (SELECT label, a AS i, d FROM p UNION ALL SELECT label, b, d FROM p), r AS (SELECT label, i, d, row_number() OVER (PARTITION BY label, i ORDER BY d) AS rank FROM w)
 SELECT label, CAST(rank AS INTEGER) AS rank, round(avg(d), 6) AS mean_distance FROM r WHERE rank <= 10 GROUP BY 1, 2""")
 def knn_mean_distance(spark, sf):
-    met = _pairs(spark, sf).select("label", "vec_id_a", "vec_id_b", "distance")
-    both = met.select("label", F.col("vec_id_a").alias("i"), "distance").union(met.select("label", "vec_id_b", "distance"))
-    return rounded(pairs.average_minimum_distances(both, "i", ["label"], 10), 6, "mean_distance")
+    return rounded(pairs.average_minimum_distances(_vectors(spark, sf), "label", "vec_id", "e", 10), 6, "mean_distance")
 
 
 @query(f"""WITH v AS ({VECTORS}), g AS (SELECT vec_id % 5 AS s, * FROM v) SELECT a.s AS struct, count(*) AS n, round(sum(exp(-list_distance(a.e, b.e))), 4) AS weight

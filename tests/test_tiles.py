@@ -43,3 +43,17 @@ def test_box_side_of_many_blocks(spark, small_blocks):
     got = {r.g: r.side for r in pairs.box_side(spark.createDataFrame(vectors() + odd, SCHEMA).repartition(3), "g", "k", "e").collect()}
     assert math.isnan(got.pop("e")) and got.pop("f") is None and got.pop("h") == math.inf
     assert got == pytest.approx({g: max(d for _, _, d in brute(g)) for g in "abc"})
+
+
+def test_nearest_of_many_blocks(spark, small_blocks):
+    got = {}
+    for r in pairs.nearest_neighbours(spark.createDataFrame(vectors(), SCHEMA).repartition(3), "g", "k", "e", 4).collect():
+        got.setdefault((r.g, r.k), []).append((r["rank"], r.distance))
+    for g in "abc":
+        keys = {r[1] for r in vectors() if r[0] == g and r[1] is not None}
+        for k in keys:
+            want = (sorted(d for x, y, d in brute(g) if k in (x[1], y[1])) + [None] * (len(keys) - 1))[:4]
+            rows = sorted(got.pop((g, k)))
+            assert [r for r, _ in rows] == [1, 2, 3, 4]
+            assert [d for _, d in rows] == [x if x is None else pytest.approx(x) for x in want]
+    assert set(got) == {("d", "alone")} or not got
