@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.operators import tiles
+from latticework.operators.histogram import bin_count
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
@@ -154,6 +155,22 @@ def average_minimum_distances(points: DataFrame, group: str, key: str, vector: s
     return nearest_neighbours(points, group, key, vector, k).groupBy(group, "rank").agg(F.avg("distance").alias("mean_distance"))
 
 
+def pair_histogram(points: DataFrame, group: str, key: str, vector: str, low: float, high: float, width: float) -> DataFrame:
+    """(group, bin, n): the pairs of each group by their distance on a dense grid from low up to high, high left out. A group without pairs has no row."""
+    bins = bin_count(low, high, width)
+
+    def fold(a: tiles.Block, b: tiles.Block, same: bool) -> dict:
+        n = np.zeros(bins, np.int64)
+        for _, _, d, mask in tiles.chunks(a, b, same, near=tiles.near_steps(low, width)):
+            d = d.ravel() if mask is None else d[mask]
+            d = d[(d >= low) & (d < high)]
+            n += np.bincount(np.minimum(((d - low) / width).astype(np.int64), bins - 1), minlength=bins)
+        return {"n": [n.tolist()]} if tiles.pairs_of(a, b, same) else {}
+
+    met = tiles.tiles(points, group, key, vector, fold, "n array<long>")
+    return met.select(group, F.posexplode("n").alias("bin", "n")).groupBy(group, F.col("bin").cast("long").alias("bin")).agg(F.sum("n").alias("n"))
+
+
 def weighted_pair_histogram(points: DataFrame, group: str, key: str, vector: str, prop: str, combiners: tuple[str, ...], centres: list[float], smear: float, cutoff: float, lower: float) -> DataFrame:
     """(group, combiner, bin, weight): the sum over a group's pairs strictly between two distances of the combined property times exp(-smear * (distance - centre) squared).
 

@@ -130,7 +130,7 @@ def pair_distance_stats(spark, sf):
 @query(f"""WITH {PAIRS}, g AS (SELECT label, unnest(range(0, 40)) AS bin FROM (SELECT DISTINCT label FROM p)), c AS (SELECT label, CAST(floor(d / 0.05) AS BIGINT) AS bin, count(*) AS n FROM p WHERE d < 2 GROUP BY 1, 2)
 SELECT g.label, CAST(g.bin AS BIGINT) AS bin, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.label = c.label AND g.bin = c.bin""")
 def pair_distance_hist(spark, sf):
-    return histogram.histogram(_pairs(spark, sf), ["label"], "distance", 0.0, 2.0, 0.05)
+    return pairs.pair_histogram(_vectors(spark, sf), "label", "vec_id", "e", 0.0, 2.0, 0.05)
 
 
 CENTRES = [0.8 + 0.1 * i for i in range(8)]

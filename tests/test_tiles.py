@@ -57,3 +57,11 @@ def test_nearest_of_many_blocks(spark, small_blocks):
             assert [r for r, _ in rows] == [1, 2, 3, 4]
             assert [d for _, d in rows] == [x if x is None else pytest.approx(x) for x in want]
     assert set(got) == {("d", "alone")} or not got
+
+
+def test_histogram_of_pairs(spark, small_blocks):
+    # At distances 0.5 and 1.0 a pair is of the bin above, and at the end of none.
+    odd = [("e", f"x{i}", [x, 3.0, 3.0, 3.0], 0) for i, x in enumerate((0.0, 0.5, 1.0, 2.0))] + [("f", "x", None, 0), ("f", "y", [1.0] * 4, 0)]
+    got = {(r.g, r.bin): r.n for r in pairs.pair_histogram(spark.createDataFrame(vectors() + odd, SCHEMA).repartition(3), "g", "k", "e", 0.0, 2.0, 0.5).collect()}
+    want = {(g, i): sum(i * 0.5 <= d < (i + 1) * 0.5 for _, _, d in brute(g)) for g in "abc" for i in range(4)}
+    assert got == want | {("e", 0): 0, ("e", 1): 2, ("e", 2): 2, ("e", 3): 1} | {("f", i): 0 for i in range(4)}
