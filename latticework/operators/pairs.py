@@ -171,6 +171,45 @@ def pair_histogram(points: DataFrame, group: str, key: str, vector: str, low: fl
     return met.select(group, F.posexplode("n").alias("bin", "n")).groupBy(group, F.col("bin").cast("long").alias("bin")).agg(F.sum("n").alias("n"))
 
 
+def pair_statistics(points: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """(group, mean, std, max, min) of the distances of each group's pairs; those that are null or NaN don't count. A group without pairs has no row.
+
+    Deviations are from the mean of a part, and parts are put together by theirs, so that a small spread about a large mean keeps its digits.
+    """
+
+    def fold(a: tiles.Block, b: tiles.Block, same: bool) -> dict:
+        n, mean, spread, most, least = 0, 0.0, 0.0, -math.inf, math.inf
+        for _, _, d, mask in tiles.chunks(a, b, same):
+            d = d.ravel() if mask is None else d[mask]
+            total = d.sum()
+            if math.isnan(total):
+                d = d[~np.isnan(d)]
+                total = d.sum()
+            if not len(d):
+                continue
+            most, least, m = max(most, float(d.max())), min(least, float(d.min())), float(total) / len(d)
+            d -= m
+            gap, both = m - mean, n + len(d)
+            spread += float(np.dot(d, d)) + gap * gap * n * len(d) / both
+            mean, n = mean + gap * len(d) / both, both
+        if not tiles.pairs_of(a, b, same):
+            return {}
+        return {"n": [n], "mean": [mean], "spread": [spread], "max": [most if n else None], "min": [least if n else None]}
+
+    part = "struct<n: bigint, mean: double, spread: double>"
+    met = tiles.tiles(points, group, key, vector, fold, "n long, mean double, spread double, max double, min double")
+    own = met.groupBy(group).agg(F.max("max").alias("max"), F.min("min").alias("min"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean", "spread")))).alias("parts"))
+
+    def together(x: Column, y: Column) -> Column:
+        gap, both = y["mean"] - x["mean"], x["n"] + y["n"]
+        return F.struct(both.alias("n"), (x["mean"] + gap * y["n"] / both).alias("mean"), (x["spread"] + y["spread"] + gap * gap * x["n"] * y["n"] / both).alias("spread")).cast(part)
+
+    whole = F.aggregate("parts", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("spread")).cast(part), together)
+    own = own.select(group, whole.alias("w"), "max", "min")
+    some = lambda x: F.when(F.col("w.n") > 0, x)
+    return own.select(group, some(F.col("w.mean")).alias("mean"), some(F.sqrt(F.col("w.spread") / F.col("w.n"))).alias("std"), "max", "min")
+
+
 def weighted_pair_histogram(points: DataFrame, group: str, key: str, vector: str, prop: str, combiners: tuple[str, ...], centres: list[float], smear: float, cutoff: float, lower: float) -> DataFrame:
     """(group, combiner, bin, weight): the sum over a group's pairs strictly between two distances of the combined property times exp(-smear * (distance - centre) squared).
 

@@ -117,14 +117,9 @@ def _vectors(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("e"))
 
 
-def _pairs(spark, sf):
-    own = t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    return pairs.pairs_within(own, "label", "vec_id", "e").withColumn("distance", pairs.distance(F.col("e_a"), F.col("e_b")))
-
-
 @query(f"WITH {PAIRS} SELECT label, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(max(d), 6) AS max, round(min(d), 6) AS min FROM p GROUP BY label")
 def pair_distance_stats(spark, sf):
-    return rounded(aggregate(_pairs(spark, sf), ["label"], "distance", ("mean", "std", "max", "min")), 6, "mean", "std", "max", "min")
+    return rounded(pairs.pair_statistics(_vectors(spark, sf), "label", "vec_id", "e"), 6, "mean", "std", "max", "min")
 
 
 @query(f"""WITH {PAIRS}, g AS (SELECT label, unnest(range(0, 40)) AS bin FROM (SELECT DISTINCT label FROM p)), c AS (SELECT label, CAST(floor(d / 0.05) AS BIGINT) AS bin, count(*) AS n FROM p WHERE d < 2 GROUP BY 1, 2)

@@ -65,3 +65,15 @@ def test_histogram_of_pairs(spark, small_blocks):
     got = {(r.g, r.bin): r.n for r in pairs.pair_histogram(spark.createDataFrame(vectors() + odd, SCHEMA).repartition(3), "g", "k", "e", 0.0, 2.0, 0.5).collect()}
     want = {(g, i): sum(i * 0.5 <= d < (i + 1) * 0.5 for _, _, d in brute(g)) for g in "abc" for i in range(4)}
     assert got == want | {("e", 0): 0, ("e", 1): 2, ("e", 2): 2, ("e", 3): 1} | {("f", i): 0 for i in range(4)}
+
+
+def test_statistics_of_pairs(spark, small_blocks):
+    odd = [("e", "x", [math.nan] + [0.0] * 3, 0), ("e", "y", [1.0] * 4, 0), ("e", "z", [2.0] * 4, 0), ("f", "x", None, 0), ("f", "y", [1.0] * 4, 0)] + [("h", f"h{i}", [float(i > 0) * 1e7, 0.0, 0.0, i / 1000], 0) for i in range(3)]
+    got = {r.g: r[1:] for r in pairs.pair_statistics(spark.createDataFrame(vectors() + odd, SCHEMA).repartition(3), "g", "k", "e").collect()}
+    assert got.pop("e") == (2.0, 0.0, 2.0, 2.0) and got.pop("f") == (None,) * 4
+    far = [math.dist((0, 0), (1e7, 0.001)), math.dist((0, 0), (1e7, 0.002)), 0.001]
+    assert got.pop("h") == pytest.approx((np.mean(far), np.std(far), max(far), min(far)), rel=1e-9)
+    assert set(got) == set("abc")
+    for g, row in got.items():
+        d = [x for _, _, x in brute(g)]
+        assert row == pytest.approx((np.mean(d), np.std(d), max(d), min(d)))
