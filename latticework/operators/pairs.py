@@ -210,6 +210,21 @@ def pair_statistics(points: DataFrame, group: str, key: str, vector: str) -> Dat
     return own.select(group, some(F.col("w.mean")).alias("mean"), some(F.sqrt(F.col("w.spread") / F.col("w.n"))).alias("std"), "max", "min")
 
 
+def cross_contacts(points: DataFrame, group: str, key: str, vector: str, role: tuple[Column, Column], cutoff: float) -> DataFrame:
+    """(group, n, weight): how many pairs of a row of each role are nearer than the cutoff, and the sum of exp(-distance) over them. A group without such pairs has no row."""
+
+    def fold(a: tiles.Block, b: tiles.Block, same: bool) -> dict:
+        n, weight = 0, 0.0
+        for _, _, d, _ in tiles.chunks(a, b, same, near=tiles.near_limits(cutoff)):
+            d = d[d < cutoff]
+            n += len(d)
+            weight += float(np.exp(np.negative(d, out=d), out=d).sum())
+        return {"n": [n], "weight": [weight]} if n else {}
+
+    met = tiles.tiles(points, group, key, vector, fold, "n long, weight double", role=role)
+    return met.groupBy(group).agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+
+
 def weighted_pair_histogram(points: DataFrame, group: str, key: str, vector: str, prop: str, combiners: tuple[str, ...], centres: list[float], smear: float, cutoff: float, lower: float) -> DataFrame:
     """(group, combiner, bin, weight): the sum over a group's pairs strictly between two distances of the combined property times exp(-smear * (distance - centre) squared).
 

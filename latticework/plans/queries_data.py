@@ -149,9 +149,8 @@ def knn_mean_distance(spark, sf):
 @query(f"""WITH v AS ({VECTORS}), g AS (SELECT vec_id % 5 AS s, * FROM v) SELECT a.s AS struct, count(*) AS n, round(sum(exp(-list_distance(a.e, b.e))), 4) AS weight
 FROM g a JOIN g b ON a.s = b.s WHERE a.label = 0 AND b.label <> 0 AND list_distance(a.e, b.e) < 1.6 GROUP BY 1""")
 def guest_host_cross(spark, sf):
-    own = t(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") % 5).alias("struct"), F.col("embedding").cast("array<double>").alias("e"))
-    met = pairs.pairs_within(own, "struct", "vec_id", "e", role=(F.col("label") == 0, F.col("label") != 0)).withColumn("d", pairs.distance(F.col("e_a"), F.col("e_b"))).where("d < 1.6")
-    return met.groupBy("struct").agg(F.count("*").alias("n"), F.round(F.sum(F.exp(-F.col("d"))), 4).alias("weight"))
+    own = _vectors(spark, sf).withColumn("struct", F.col("vec_id") % 5)
+    return rounded(pairs.cross_contacts(own, "struct", "vec_id", "e", (F.col("label") == 0, F.col("label") != 0), 1.6), 4, "weight")
 
 
 @query("""WITH p AS (SELECT p_type AS symbol, avg(p_size) AS mass, avg(p_retailprice) AS price FROM part GROUP BY 1), s AS (SELECT DISTINCT l_orderkey, p_type AS symbol FROM lineitem JOIN part ON l_partkey = p_partkey)

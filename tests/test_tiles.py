@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.operators import pairs, tiles
 
@@ -77,3 +78,12 @@ def test_statistics_of_pairs(spark, small_blocks):
     for g, row in got.items():
         d = [x for _, _, x in brute(g)]
         assert row == pytest.approx((np.mean(d), np.std(d), max(d), min(d)))
+
+
+def test_contacts_of_roles(spark, small_blocks):
+    """A row may have both roles, and a null one; equal keys meet too."""
+    df = spark.createDataFrame(vectors(), SCHEMA).repartition(3)
+    got = {r.g: (r.n, r.weight) for r in pairs.cross_contacts(df, "g", "k", "e", (F.nullif(F.col("p"), F.lit(3)) <= 1, F.col("p") != 0), 2.0).collect()}
+    own = [r for r in vectors() if None not in r[:3] and None not in r[2]]
+    d = {g: [x for r in own for s in own if r[0] == s[0] == g and r[3] <= 1 and s[3] != 0 and (x := math.dist(r[2], s[2])) < 2] for g in "abcd"}
+    assert got == {g: (len(x), pytest.approx(math.fsum(math.exp(-v) for v in x))) for g, x in d.items()}
