@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.aggregators import AGGREGATORS, COMBINERS
-from latticework.operators import graph, histogram, topology
-from latticework.operators.pairs import minimum_image
+from latticework.operators import graph, histogram, tiles, topology
 from latticework.shared import written
 
 # The groups of atom types that features are split by.
@@ -90,40 +89,52 @@ def by_type(sites: DataFrame, types: tuple[str, ...], every: bool) -> DataFrame:
     return sites.withColumn("type", F.explode(F.array_compact(F.array(*where))))
 
 
-def pair_distances(structures: DataFrame, sites: DataFrame) -> DataFrame:
-    """(struct_id, site_id_a, site_id_b, symbol_a, symbol_b, distance): every two sites once, by the nearest image."""
-    side = lambda s: sites.select(F.col("struct_id").alias(f"s{s}"), F.col("site_id").alias(f"site_id_{s}"), F.col("symbol").alias(f"symbol_{s}"), F.array("fx", "fy", "fz").alias(f"f{s}"))
-    met = side("a").join(side("b"), (F.col("sa") == F.col("sb")) & (F.col("site_id_a") < F.col("site_id_b"))).join(structures.select("struct_id", "lattice"), F.col("sa") == F.col("struct_id"))
-    return met.select("struct_id", "site_id_a", "site_id_b", "symbol_a", "symbol_b", minimum_image(F.col("lattice"), F.col("fa"), F.col("fb")).alias("distance"))
-
-
-def _weighted(pairs: DataFrame, ids: DataFrame, properties: DataFrame, names: tuple[str, ...], combiners: tuple[str, ...], cutoff: float, lower: float, width: float, smear: float) -> Features:
+def _weighted(structures: DataFrame, sites: DataFrame, key: str, properties: DataFrame, names: tuple[str, ...], combiners: tuple[str, ...], cutoff: float, lower: float, width: float, smear: float, role: tuple[Column, Column] | None = None) -> Features:
+    """Each tile of a structure's pairs leaves one sum for each property, combiner and bin; no pair becomes a row."""
     n = int((cutoff - lower) // width)
     step = (cutoff - lower) / (n - 1)
-    side = lambda s: F.broadcast(properties.select(F.col("symbol").alias(f"y{s}"), *[F.col(p).cast("double").alias(f"{p}_{s}") for p in names]))
-    near = pairs.where((F.col("distance") < cutoff) & (F.col("distance") > lower))
-    met = near.join(side("a"), F.col("symbol_a") == F.col("ya")).join(side("b"), F.col("symbol_b") == F.col("yb"))
-    # The bin has the given width; its centre is of an even spacing from end to end, which is a little wider.
-    slot = F.least(F.floor((F.col("distance") - lower) / width), F.lit(n - 1))
-    off = F.col("distance") - (lower + slot * step)
-    weight = F.exp(-smear * off * off)
-    parts = [F.struct(F.lit(pi * len(combiners) + ci).alias("row"), (COMBINERS[c](F.col(f"{p}_a"), F.col(f"{p}_b")) * weight).alias("w")) for pi, p in enumerate(names) for ci, c in enumerate(combiners)]
-    long = met.select("struct_id", slot.alias("slot"), F.explode(F.array(*parts)).alias("x")).groupBy("struct_id", "slot", "x.row").agg(F.sum("x.w").alias("v"))
+    values = F.broadcast(properties.select(F.col("symbol").alias("__y"), *[F.col(p).cast("double").alias(f"__p{i}") for i, p in enumerate(names)]))
+    cell = structures.select(F.col("struct_id").alias("__s"), F.flatten("lattice").alias("__c"))
+    own = sites.join(values, F.col("symbol") == F.col("__y")).join(cell, F.col("struct_id") == F.col("__s")).withColumn("__x", F.concat(F.array("fx", "fy", "fz"), "__c"))
+    within, of = role is None, [f"__p{i}" for i in range(len(names))]
+    limits, steps = tiles.near_limits(cutoff, lower), tiles.near_steps(lower, width)
+
+    def fold(a: tiles.Block, b: tiles.Block, same: bool) -> dict:
+        sums, count = np.zeros((len(names) * len(combiners), n)), np.zeros(n, np.int64)
+        for i, j, d, mask in tiles.chunks(a, b, same, tiles.measured_images, lambda d: limits(d) | steps(d)):
+            inside = (d < cutoff) & (d > lower)
+            if mask is not None:
+                inside &= mask
+            if not inside.any():
+                continue
+            d = d[inside]
+            # The bin has the given width; its centre is of an even spacing from end to end, which is a little wider.
+            slot = np.minimum(((d - lower) / width).astype(np.int64), n - 1)
+            count += np.bincount(slot, minlength=n)
+            d -= lower + slot * step
+            weight = np.exp(-smear * d * d)
+            for y, (p, c) in enumerate((p, c) for p in of for c in combiners):
+                x = tiles.combined(c, a, b, i, j, (p, p), within)[inside]
+                sums[y] += np.bincount(slot, weights=np.where(np.isnan(x), 0.0, x) * weight, minlength=n)
+        slots = np.flatnonzero(count)
+        rows = np.arange(len(sums))
+        return {"row": np.repeat(rows, len(slots)), "slot": np.tile(slots, len(rows)), "v": sums[:, slots].ravel()} if len(slots) else {}
+
+    met = tiles.tiles(own, "struct_id", key, "__x", fold, "row int, slot int, v double", role=role, columns=tuple(of))
+    long = met.groupBy("struct_id", "slot", "row").agg(F.sum("v").alias("v"))
     labels = tuple(f"aprdf_{p}_{c}_{i}" for p in names for c in combiners for i in range(n))
-    return Features(arrays(long, ids, "struct_id", F.col("row") * n + F.col("slot"), "v", len(labels), 0.0), labels)
+    return Features(arrays(long, structures, "struct_id", F.col("row") * n + F.col("slot"), "v", len(labels), 0.0), labels)
 
 
 def aprdf(structures: DataFrame, sites: DataFrame, properties: DataFrame, names: tuple[str, ...], combiners: tuple[str, ...] = ("avg", "product", "diff"), cutoff: float = 20.0, lower: float = 2.0, width: float = 0.25, smear: float = 10.0) -> Features:
-    """Radial distribution functions of site pairs weighted by combined properties; a pair counts in its own bin."""
-    return _weighted(pair_distances(structures, sites), structures, properties, names, combiners, cutoff, lower, width, smear)
+    """Radial distribution functions of site pairs, by the nearest image, weighted by combined properties; a pair counts in its own bin."""
+    return _weighted(structures, sites, "site_id", properties, names, combiners, cutoff, lower, width, smear)
 
 
 def guest_aprdf(structures: DataFrame, roles: DataFrame, properties: DataFrame, names: tuple[str, ...], combiners: tuple[str, ...] = ("avg", "product", "diff"), cutoff: float = 20.0, lower: float = 2.0, width: float = 0.25, smear: float = 10.0) -> Features:
     """The same over pairs of a guest's and a host's site. roles: sites with `role`, host or guest."""
-    side = lambda s, r: roles.where(F.col("role") == r).select(F.col("struct_id").alias(f"s{s}"), F.col("symbol").alias(f"symbol_{s}"), F.array("fx", "fy", "fz").alias(f"f{s}"))
-    met = side("a", "guest").join(side("b", "host"), F.col("sa") == F.col("sb")).join(structures.select("struct_id", "lattice"), F.col("sa") == F.col("struct_id"))
-    pairs = met.select("struct_id", "symbol_a", "symbol_b", minimum_image(F.col("lattice"), F.col("fa"), F.col("fb")).alias("distance"))
-    return _weighted(pairs, structures, properties, names, combiners, cutoff, lower, width, smear)
+    own = roles.withColumn("__at", F.xxhash64("symbol", "fx", "fy", "fz"))
+    return _weighted(structures, own, "__at", properties, names, combiners, cutoff, lower, width, smear, (F.col("role") == "guest", F.col("role") == "host"))
 
 
 def amd(structures: DataFrame, sites: DataFrame, k: int = 100, types: tuple[str, ...] = ATOM_TYPES, every: bool = True, names: tuple[str, ...] = ("mean",), reach: float = 30.0) -> Features:

@@ -216,3 +216,53 @@ def combined(name: str, a: Block, b: Block, i: np.ndarray, j: np.ndarray, prop:
         w, z = a.columns[prop[1]][i][:, None], b.columns[prop[0]][j][None, :]
         u, v = np.where(low, u, z), np.where(low, v, w)
     return COMBINERS[name](u, v)
+
+
+class Images:
+    """Smallest distances of fractional positions x to y over the 27 neighbouring images of a cell; rows of `cell` are its three vectors."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, cell: np.ndarray):
+        self.x, self.y, self.cell = x, y, cell
+        self.all = [(float(i), float(j), float(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+        # An image and its opposite differ in the sign of one product, so that half of them are enough.
+        shifts = np.array(self.all[14:]) @ cell
+        centre = np.concatenate([x, y]).mean(axis=0)
+        p, q = (x - centre) @ cell, (y - centre) @ cell
+        self.p, self.q = p, np.ascontiguousarray(q.T)
+        self.ps, self.qs = np.ascontiguousarray((2 * p @ shifts.T).T), np.ascontiguousarray((2 * q @ shifts.T).T)
+        self.s2 = (shifts * shifts).sum(axis=1)
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        least = np.full(len(i), np.inf)
+        gap = [self.y[j, c] - self.x[i, c] for c in range(3)]
+        for image in self.all:
+            total = np.zeros(len(i))
+            for c in range(3):
+                v = np.zeros(len(i))
+                for r in range(3):
+                    v += (gap[r] + image[r]) * self.cell[r, c]
+                total += v * v
+            np.minimum(least, total, out=least)
+        return np.sqrt(least)
+
+    def between(self, rows: slice, cols: slice, near: Callable[[np.ndarray], np.ndarray] | None) -> np.ndarray:
+        out = np.zeros((rows.stop - rows.start, cols.stop - cols.start))
+        w = np.empty_like(out)
+        for s, p, q in zip(self.s2, self.ps, self.qs):
+            np.subtract(p[rows, None], q[None, cols], out=w)
+            np.abs(w, out=w)
+            np.subtract(s, w, out=w)
+            np.minimum(out, w, out=out)
+        for c in range(3):
+            np.subtract(self.p[rows, c, None], self.q[None, c, cols], out=w)
+            out += np.multiply(w, w, out=w)
+        np.sqrt(np.maximum(out, 0, out=out), out=out)
+        return repaired(out, self, rows, cols, None, near)
+
+
+def measured_images(a: Block, b: Block) -> Iterator[tuple[np.ndarray, np.ndarray, Images]]:
+    """As measured(); a row's numbers are its fractional position and the nine of its structure's cell."""
+    tame = lambda block: np.array([r for r, x in enumerate(block.x) if x is not None and len(x) == 12 and (np.abs(x) < 1e100).all()], int)
+    i, j = tame(a), tame(b)
+    if len(i) and len(j):
+        yield i, j, Images(np.stack([a.x[r][:3] for r in i]), np.stack([b.x[r][:3] for r in j]), a.x[i[0]][3:].reshape(3, 3))

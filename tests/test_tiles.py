@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.operators import pairs, tiles
+from latticework.operators import featurizers, pairs, tiles
 
 
 @pytest.fixture
@@ -87,3 +87,36 @@ def test_contacts_of_roles(spark, small_blocks):
     own = [r for r in vectors() if None not in r[:3] and None not in r[2]]
     d = {g: [x for r in own for s in own if r[0] == s[0] == g and r[3] <= 1 and s[3] != 0 and (x := math.dist(r[2], s[2])) < 2] for g in "abcd"}
     assert got == {g: (len(x), pytest.approx(math.fsum(math.exp(-v) for v in x))) for g, x in d.items()}
+
+
+def periodic(spark):
+    """Sites of two structures with skewed cells, some of them far outside of it, one without a property."""
+    rng = np.random.default_rng(5)
+    cells = {"s": [[3.0, 0.0, 0.0], [1.0, 2.5, 0.0], [-0.5, 0.75, 4.0]], "t": [[2.0, 0.0, 0.0], [0.0, 2.0, 0.0], [0.0, 0.0, 2.0]]}
+    rows = [(s, i, "AB"[i % 2], *[float(x) for x in rng.uniform(-0.2, 1.2, 3)]) for s, n in (("s", 30), ("t", 4)) for i in range(n)] + [("s", 99, "?", 0.0, 0.0, 0.0)]
+    sites = spark.createDataFrame(rows, "struct_id string, site_id int, symbol string, fx double, fy double, fz double").repartition(3)
+    return sites, spark.createDataFrame(list(cells.items()), "struct_id string, lattice array<array<double>>"), rows, cells
+
+
+def brute_images(rows, cells, pick):
+    """Weights of the bins 0.25 wide between 0.2 and 3.0, of property products by the nearest of 27 images."""
+    of, out = {"A": 2.0, "B": 3.0}, {}
+    for x in rows:
+        for y in rows:
+            if x[0] == y[0] and pick(x, y) and x[2] in of and y[2] in of:
+                d = min(np.linalg.norm((np.array(y[3:]) - x[3:] + (i, j, k)) @ np.array(cells[x[0]])) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))
+                if 0.2 < d < 3:
+                    b = min(int((d - 0.2) // 0.25), 10)
+                    name = (x[0], f"aprdf_X_product_{b}")
+                    out[name] = out.get(name, 0) + of[x[2]] * of[y[2]] * math.exp(-10 * (d - 0.2 - b * 0.28) ** 2)
+    return out
+
+
+PROPERTIES = ([("A", 2.0), ("B", 3.0)], "symbol string, X double")
+
+
+def test_nearest_images_of_skewed_cells(spark, small_blocks):
+    sites, structures, rows, cells = periodic(spark)
+    made = featurizers.aprdf(structures, sites, spark.createDataFrame(*PROPERTIES), ("X",), ("product",), 3.0, 0.2, 0.25, 10.0)
+    got = {(r.struct_id, r.feature): r.value for r in made.long().where("value <> 0").collect()}
+    assert got == pytest.approx(brute_images(rows, cells, lambda x, y: x[1] < y[1]))
