@@ -120,3 +120,13 @@ def test_nearest_images_of_skewed_cells(spark, small_blocks):
     made = featurizers.aprdf(structures, sites, spark.createDataFrame(*PROPERTIES), ("X",), ("product",), 3.0, 0.2, 0.25, 10.0)
     got = {(r.struct_id, r.feature): r.value for r in made.long().where("value <> 0").collect()}
     assert got == pytest.approx(brute_images(rows, cells, lambda x, y: x[1] < y[1]))
+
+
+def test_nearest_images_of_guests_and_hosts(spark, small_blocks):
+    sites, structures, rows, cells = periodic(spark)
+    # A host that stands twice in the same place counts twice.
+    sites, rows = sites.union(sites.where("struct_id = 't' and site_id = 3")), rows + [r for r in rows if r[:2] == ("t", 3)]
+    roles = sites.withColumn("role", F.when(F.col("site_id") % 3 == 0, "host").otherwise("guest")).where("site_id % 3 < 2").drop("site_id")
+    made = featurizers.guest_aprdf(structures, roles, spark.createDataFrame(*PROPERTIES), ("X",), ("product",), 3.0, 0.2, 0.25, 10.0)
+    got = {(r.struct_id, r.feature): r.value for r in made.long().where("value <> 0").collect()}
+    assert got == pytest.approx(brute_images(rows, cells, lambda x, y: x[1] % 3 == 1 and y[1] % 3 == 0))
