@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,61 @@ def walk_ends(edges: DataFrame, scope: int, by: list[str] | None = None, start:
     return at.where("start <> end")
 
 
+def twins(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, class) and (a, b): nodes with the same neighbours are of one class, and the steps between classes. edges (i, j) go both ways and are distinct.
+
+    If one node of a class is bound to one of another, then all are to all, so that walks of classes are walks of their nodes. A hub's leaves are
+    one class. A class is told by 128 bits and the number of its neighbours.
+    """
+    sign = edges.groupBy(F.col("i").alias("node")).agg(F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("j")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "j")).alias("y")).alias("class"))
+    nodes = written(sign, "twins")
+    one = nodes.groupBy("class").agg(F.min("node").alias("one"))
+    met = edges.join(one, F.col("i") == F.col("one")).select(F.col("class").alias("a"), "j")
+    steps = met.join(nodes, F.col("j") == F.col("node")).select("a", F.col("class").alias("b")).distinct()
+    return nodes, written(steps, "steps")
+
+
+def class_walks(nodes: DataFrame, steps: DataFrame, start: DataFrame, scope: int) -> list[DataFrame]:
+    """(first, last) for each number of bonds up to scope: the classes of the ends of walks from the classes of start (start)."""
+    at = start.join(nodes, F.col("start") == F.col("node")).select(F.col("class").alias("first"), F.col("class").alias("last")).distinct()
+    out = []
+    for _ in range(scope):
+        at = written(at.join(steps, F.col("last") == F.col("a")).select("first", F.col("b").alias("last")).distinct(), "walks")
+        out.append(at)
+    return out
+
+
+def walk_counts(edges: DataFrame, scope: int, start: DataFrame) -> DataFrame:
+    """(scope, start, n): the number of ends of walks of 1 to `scope` bonds, without the start itself. Starts without another end have no row.
+
+    Ends are counted by classes of nodes with the same neighbours: a hub is one step and not one for each two of its leaves.
+    """
+    nodes, steps = twins(edges)
+    size = nodes.groupBy(F.col("class").alias("sized")).agg(F.count("*").alias("size"))
+    own = start.join(nodes, F.col("start") == F.col("node")).select("start", F.col("class").alias("mine"))
+    outs = []
+    for n, walks in enumerate(class_walks(nodes, steps, start, scope), 1):
+        many = walks.join(size, F.col("last") == F.col("sized")).groupBy("first").agg((F.sum("size") - F.max((F.col("first") == F.col("last")).cast("int"))).alias("n")).where("n > 0")
+        outs.append(own.join(many, F.col("mine") == F.col("first")).select(F.lit(n).alias("scope"), "start", "n"))
+    return reduce(DataFrame.union, outs)
+
+
+def walk_values(edges: DataFrame, scope: int, start: DataFrame, ends: DataFrame) -> DataFrame:
+    """(block, first, last, n): how many walks of `scope` bonds, told apart by their two ends, lead from a value to a value.
+
+    start: (block, start, value) and ends: (node, value), with one value a node; walks back to the start don't count. Nodes of a class with equal values are counted together.
+    """
+    nodes, steps = twins(edges)
+    walks = class_walks(nodes, steps, start.select("start").distinct(), scope)[-1]
+    mine = start.join(nodes, F.col("start") == F.col("node")).select("start", "block", F.col("value").alias("v"), F.col("class").alias("c"))
+    its = ends.withColumnRenamed("node", "end").join(nodes, F.col("end") == F.col("node")).select("end", F.col("value").alias("w"), F.col("class").alias("d"))
+    a, b = mine.groupBy("block", "v", "c").agg(F.count("*").alias("n")), its.groupBy("w", "d").agg(F.count("*").alias("m"))
+    all_ = walks.join(a, F.col("first") == F.col("c")).join(b, F.col("last") == F.col("d")).select("block", "v", "w", (F.col("n") * F.col("m")).alias("n"))
+    back = walks.where(F.col("first") == F.col("last")).select(F.col("first").alias("same"))
+    back = mine.join(its, F.col("start") == F.col("end")).join(back, F.col("c") == F.col("same")).select("block", "v", "w", F.lit(-1).cast("long").alias("n"))
+    return all_.union(back).groupBy("block", F.col("v").alias("first"), F.col("w").alias("last")).agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (i, j): the smallest node that can be reached. Hooking and pointer jumping; logarithmically many rounds."""
     left = written(edges.select(F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo")).where("hi <> lo").distinct(), "edges")
@@ -109,21 +167,25 @@ def fragment_blocks(roles: DataFrame, edges: DataFrame) -> DataFrame:
     return own.groupBy("struct_id", "role", F.coalesce("component", "__k").alias("frag_id")).agg(F.array_sort(F.collect_list("site_id")).alias("site_ids"))
 
 
-def autocorrelations(ends: DataFrame, values: DataFrame, by: list[str], block: str, combiners: tuple[str, ...], over_pairs: tuple[str, ...], over_blocks: tuple[str, ...]) -> DataFrame:
-    """(by, combiner, pair_agg, block_agg, value): properties combined over walks, aggregated in blocks, then over them.
+#: Aggregates of values x that are there n times.
+COUNTED: dict[str, Callable[[Column, Column], Column]] = {
+    "sum": lambda x, n: F.sum(x * n),
+    "avg": lambda x, n: F.sum(x * n) / F.sum(F.when(x.isNotNull(), n)),
+    "max": lambda x, n: F.max(x),
+    "min": lambda x, n: F.min(x),
+    "range": lambda x, n: F.max(x) - F.min(x),
+}
 
-    ends: (by, block, start, end); values: (by, node, value).
-    """
-    side = lambda s: values.select(*[F.col(c).alias(f"{s}{c}") for c in by], F.col("node").alias(f"{s}node"), F.col("value").cast("double").alias(f"{s}v"))
-    met = ends
-    for s, c in (("a_", "start"), ("b_", "end")):
-        met = met.join(side(s), [F.col(x) == F.col(f"{s}{x}") for x in by] + [F.col(c) == F.col(f"{s}node")])
+
+def autocorrelations(counted: DataFrame, combiners: tuple[str, ...], over_pairs: tuple[str, ...], over_blocks: tuple[str, ...]) -> DataFrame:
+    """(combiner, pair_agg, block_agg, value): properties combined over walks, aggregated in blocks, then over them. counted: as from walk_values()."""
     spread = lambda names, make, alias: F.explode(F.array(*[F.struct(F.lit(n).alias(alias), make(n).alias("value")) for n in names]))
-    long = met.select(*by, block, spread(combiners, lambda n: COMBINERS[n](F.col("a_v"), F.col("b_v")), "combiner").alias("c")).select(*by, block, "c.combiner", "c.value")
-    inner = long.groupBy(*by, block, "combiner").agg(*[AGGREGATORS[n](F.col("value")).cast("double").alias(n) for n in over_pairs])
-    inner = inner.select(*by, block, "combiner", spread(over_pairs, lambda n: F.col(f"`{n}`"), "pair_agg").alias("p")).select(*by, block, "combiner", "p.pair_agg", "p.value")
-    outer = inner.groupBy(*by, "combiner", "pair_agg").agg(*[AGGREGATORS[n](F.col("value")).cast("double").alias(n) for n in over_blocks])
-    return outer.select(*by, "combiner", "pair_agg", spread(over_blocks, lambda n: F.col(f"`{n}`"), "block_agg").alias("b")).select(*by, "combiner", "pair_agg", "b.block_agg", "b.value")
+    a, b = F.col("first").cast("double"), F.col("last").cast("double")
+    long = counted.select("block", "n", spread(combiners, lambda n: COMBINERS[n](a, b), "combiner").alias("c")).select("block", "n", "c.combiner", "c.value")
+    inner = long.groupBy("block", "combiner").agg(*[COUNTED[n](F.col("value"), F.col("n")).cast("double").alias(n) for n in over_pairs])
+    inner = inner.select("block", "combiner", spread(over_pairs, lambda n: F.col(f"`{n}`"), "pair_agg").alias("p")).select("block", "combiner", "p.pair_agg", "p.value")
+    outer = inner.groupBy("combiner", "pair_agg").agg(*[AGGREGATORS[n](F.col("value")).cast("double").alias(n) for n in over_blocks])
+    return outer.select("combiner", "pair_agg", spread(over_blocks, lambda n: F.col(f"`{n}`"), "block_agg").alias("b")).select("combiner", "pair_agg", "b.block_agg", "b.value")
 
 
 def degrees(edges: DataFrame, by: list[str]) -> DataFrame:

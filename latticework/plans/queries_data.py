@@ -176,8 +176,7 @@ SELECT 1 AS scope, s AS start, count(*) AS n FROM w1 WHERE s <> j GROUP BY s UNI
 def graph_walk_neighbours(spark, sf):
     edges = _edges(spark, sf)
     start = edges.where("i >= 2000000").select(F.col("i").alias("start")).distinct()
-    outs = [graph.walk_ends(edges, scope, start=start).groupBy("start").agg(F.count("*").alias("n")).select(F.lit(scope).alias("scope"), "start", "n") for scope in (1, 2, 3)]
-    return outs[0].union(outs[1]).union(outs[2])
+    return graph.walk_counts(edges, 3, start)
 
 
 @query(f"""WITH {EDGES}, w AS (SELECT DISTINCT a.i AS s, b.j FROM e a JOIN e b ON a.j = b.i WHERE a.i >= 2000000 AND b.j < 1000000),
@@ -187,10 +186,10 @@ SELECT combiner, pair_agg, block_agg, round(v, 4) AS value FROM (SELECT combiner
 UNION ALL SELECT combiner, 'avg', 'avg', avg(a) FROM b GROUP BY 1 UNION ALL SELECT combiner, 'avg', 'sum', sum(a) FROM b GROUP BY 1)""")
 def rac_nested_agg(spark, sf):
     edges = _edges(spark, sf)
-    start = edges.where("i >= 2000000").select(F.col("i").alias("start")).distinct()
-    ends = graph.walk_ends(edges, 2, start=start).where("end < 1000000").withColumn("block", F.col("start") % 3).withColumn("g", F.lit(0))
-    values = edges.select(F.lit(0).alias("g"), F.col("i").alias("node"), (F.col("i") % 11).alias("value")).distinct()
-    return rounded(graph.autocorrelations(ends, values, ["g"], "block", ("product", "diff"), ("sum", "avg"), ("avg", "sum")).drop("g"), 4, "value")
+    value = (F.col("i") % 11).alias("value")
+    start = edges.where("i >= 2000000").select((F.col("i") % 3).alias("block"), F.col("i").alias("start"), value).distinct()
+    ends = edges.where("i < 1000000").select(F.col("i").alias("node"), value).distinct()
+    return rounded(graph.autocorrelations(graph.walk_values(edges, 2, start, ends), ("product", "diff"), ("sum", "avg"), ("avg", "sum")), 4, "value")
 
 
 @query(f"""WITH {EDGES}, l0 AS (SELECT DISTINCT i AS node, CASE WHEN i < 1000000 THEN 'c' WHEN i < 2000000 THEN 'n' ELSE 's' END AS label FROM e),

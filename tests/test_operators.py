@@ -117,3 +117,31 @@ def test_price_texts(spark):
     texts = ["10–20", "Not traded.", "Negative price.", "7"]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").orderBy("i").select(scalars.clean_price(F.col("t"))).collect()]
     assert got == [15.0, None, 0.0, 7.0]
+
+
+def random_graph():
+    """A hub with leaves, twins without a hub, a chain, a loop at a node, a node bound to itself only and a random part."""
+    rng = np.random.default_rng(6)
+    bonds = [(0, i) for i in range(1, 9)] + [(20, 22), (20, 23), (21, 22), (21, 23), (30, 31), (31, 32), (32, 33), (32, 32), (50, 50)]
+    return bonds + [(40 + int(a), 40 + int(b)) for a, b in rng.integers(0, 9, (12, 2)) if a != b] + [(8, 30), (33, 40)]
+
+
+def ends_of(bonds, scope):
+    near = {}
+    for i, j in bonds:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    out = {x: {x} for x in near}
+    for _ in range(scope):
+        out = {x: set().union(*(near[y] for y in at)) for x, at in out.items()}
+    return {x: at - {x} for x, at in out.items()}
+
+
+def test_walk_counts_by_classes(spark):
+    bonds = random_graph()
+    edges = graph.both_ways(spark.createDataFrame(bonds, "i long, j long"))
+    start = edges.where("i % 3 < 2").select(F.col("i").alias("start")).distinct()
+    got = {(r.scope, r.start): r.n for r in graph.walk_counts(edges, 3, start).collect()}
+    assert got == {(s, x): len(at) for s in (1, 2, 3) for x, at in ends_of(bonds, s).items() if x % 3 < 2 and at}
+    # A hub is a step: its leaves are one class.
+    assert graph.twins(edges)[0].where("node between 1 and 7").select("class").distinct().count() == 1
