@@ -145,3 +145,21 @@ def test_walk_counts_by_classes(spark):
     assert got == {(s, x): len(at) for s in (1, 2, 3) for x, at in ends_of(bonds, s).items() if x % 3 < 2 and at}
     # A hub is a step: its leaves are one class.
     assert graph.twins(edges)[0].where("node between 1 and 7").select("class").distinct().count() == 1
+
+
+def test_walk_values_by_classes(spark):
+    bonds = random_graph()
+    edges = graph.both_ways(spark.createDataFrame(bonds, "i long, j long"))
+    node = edges.select(F.col("i").alias("node")).distinct().withColumn("value", F.col("node") % 4)
+    start = node.where("node % 3 < 2").select((F.col("node") % 2).alias("block"), F.col("node").alias("start"), "value")
+    counted = graph.walk_values(edges, 2, start, node.where("node <> 4"))
+    want = {}
+    for x, at in ends_of(bonds, 2).items():
+        for y in at - {4} if x % 3 < 2 else ():
+            want[x % 2, x % 4, y % 4] = want.get((x % 2, x % 4, y % 4), 0) + 1
+    assert {(r.block, r.first, r.last): r.n for r in counted.collect()} == want
+    got = {(r.combiner, r.pair_agg, r.block_agg): r.value for r in graph.autocorrelations(counted, ("product", "diff"), ("sum", "avg", "max"), ("avg", "sum")).collect()}
+    of = {"product": lambda a, b: a * b, "diff": lambda a, b: abs(a - b)}
+    over = {"sum": sum, "avg": np.mean, "max": max}
+    lists = {c: [[f(a, b) for (k, a, b), n in want.items() if k == block for _ in range(n)] for block in (0, 1)] for c, f in of.items()}
+    assert got == pytest.approx({(c, p, b): float(over[b]([over[p](x) for x in lists[c]])) for c in of for p in over for b in ("avg", "sum")})
