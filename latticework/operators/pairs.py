@@ -298,5 +298,78 @@ def radius_neighbours(structures: DataFrame, sites: DataFrame, cutoff: float) ->
     return met.withColumn("distance", d).where(F.col("distance") <= cutoff).select("struct_id", "site_id", "other", "i", "j", "k", "distance")
 
 
+def radius_totals(structures: DataFrame, sites: DataFrame, cutoff: float) -> DataFrame:
+    """(struct_id, site_id, n, total): how many images radius_neighbours() finds of each site, and the sum of their distances. Sites without one have no row.
+
+    Blocks of a structure's sites meet in tiles, in parts that stand together; an image of a part that is out of reach as a whole is passed over.
+    """
+    cell = structures.select(F.col("struct_id").alias("__s"), F.flatten("lattice").alias("__c"))
+    own = sites.join(cell, F.col("struct_id") == F.col("__s")).withColumn("__x", F.concat(F.array(*[F.col(c).cast("double") for c in "xyz"]), "__c"))
+
+    def placed(block: tiles.Block) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.array([r for r, x in enumerate(block.x) if x is not None and len(x) == 12 and (np.abs(x) < 1e100).all()], int)
+        at = np.array([block.x[r][:3] for r in rows]).reshape(-1, 3)
+        if not len(rows):
+            return rows, at
+        span = np.maximum(np.ptp(at, axis=0), 1e-300)
+        order = np.argsort(np.minimum(((at - at.min(axis=0)) / span * 4).astype(int), 3) @ (16, 4, 1), kind="stable")
+        return rows[order], at[order]
+
+    def reach(a: np.ndarray, b: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+        """Which shifts bring some of b's box near a's."""
+        low, high = b.min(axis=0) + shifts, b.max(axis=0) + shifts
+        gap = np.maximum(0, np.maximum(low - a.max(axis=0), a.min(axis=0) - high))
+        return np.flatnonzero((gap * gap).sum(axis=1) <= cutoff * cutoff * (1 + tiles.NEAR))
+
+    near = tiles.near_limits(cutoff)
+
+    def fold(a: tiles.Block, b: tiles.Block, same: bool) -> dict:
+        (i, p), (j, q) = placed(a), placed(b)
+        if not len(i) or not len(j):
+            return {}
+        lattice = a.x[i[0]][3:].reshape(3, 3)
+        inverse, both = np.linalg.inv(lattice), np.concatenate([p, q])
+        # Rows of the inverse's columns are as long as one over the cell's widths.
+        most = np.ceil(cutoff * np.linalg.norm(inverse, axis=0) + np.ptp(both @ inverse, axis=0) + 1e-9).astype(int)
+        images = np.stack(np.meshgrid(*[np.arange(-m, m + 1) for m in most], indexing="ij"), axis=-1).reshape(-1, 3)
+        images = images[reach(p, q, images @ lattice)]
+        shifts, centre, one = images @ lattice, both.mean(axis=0), np.ones
+        count, total = [np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)], [np.zeros(len(a)), np.zeros(len(b))]
+        for r in range(0, len(i), tiles.ROWS):
+            x, xi = p[r : r + tiles.ROWS], i[r : r + tiles.ROWS]
+            u = x - centre
+            u = np.hstack([-2 * u, (u * u).sum(axis=1, keepdims=True), one((len(u), 1))])
+            for c in range(0, len(j), tiles.COLUMNS // 4):
+                y, yj = q[c : c + tiles.COLUMNS // 4], j[c : c + tiles.COLUMNS // 4]
+                for image, shift in ((images[t], shifts[t]) for t in reach(x, y, shifts)):
+                    v = y - centre + shift
+                    v2 = (v * v).sum(axis=1)
+                    d = u @ np.vstack([v.T, one(len(v)), v2])
+                    low = d < 1e-6 * (u[:, 3].max() + v2.max())
+                    np.sqrt(np.maximum(d, 0, out=d), out=d)
+                    wrong = near(d) | low
+                    if wrong.any():
+                        k, m = np.nonzero(wrong)
+                        exact = np.zeros(len(k))
+                        for axis in range(3):
+                            moved = y[m, axis] + (0.0 + image[0] * lattice[0, axis] + image[1] * lattice[1, axis] + image[2] * lattice[2, axis])
+                            exact += (x[k, axis] - moved) * (x[k, axis] - moved)
+                        d[k, m] = np.sqrt(exact)
+                    inside = d <= cutoff
+                    if same and not image.any():
+                        inside &= a.code[xi][:, None] != b.code[yj][None, :]
+                    d *= inside
+                    count[0][xi] += inside.sum(axis=1)
+                    total[0][xi] += d.sum(axis=1)
+                    if not same:
+                        count[1][yj] += inside.sum(axis=0)
+                        total[1][yj] += d.sum(axis=0)
+        sides = [0] if same else [0, 1]
+        return {"site_id": pa.concat_arrays([(a, b)[s].keys for s in sides]), "n": np.concatenate([count[s] for s in sides]), "total": np.concatenate([total[s] for s in sides])}
+
+    met = tiles.tiles(own, "struct_id", "site_id", "__x", fold, "site_id KEY, n long, total double")
+    return met.groupBy("struct_id", "site_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
+
+
 def rank_within(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

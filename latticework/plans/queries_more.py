@@ -104,7 +104,7 @@ def radius_neighbours(spark, sf):
     sites = _points(spark, sf).select((F.col("vec_id") % 40).alias("struct_id"), F.col("vec_id").alias("site_id"), "x", "y", "z")
     cell = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in ((1.0, 0.0, 0.0), (0.2, 1.5, 0.0), (0.0, 0.0, 2.0))])
     structures = sites.select("struct_id").distinct().withColumn("lattice", cell)
-    return pairs.radius_neighbours(structures, sites, 1.2).groupBy("struct_id", "site_id").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 4).alias("total"))
+    return rounded(pairs.radius_totals(structures, sites, 1.2), 4, "total")
 
 
 def _report(labels, *columns):

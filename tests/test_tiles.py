@@ -130,3 +130,12 @@ def test_nearest_images_of_guests_and_hosts(spark, small_blocks):
     made = featurizers.guest_aprdf(structures, roles, spark.createDataFrame(*PROPERTIES), ("X",), ("product",), 3.0, 0.2, 0.25, 10.0)
     got = {(r.struct_id, r.feature): r.value for r in made.long().where("value <> 0").collect()}
     assert got == pytest.approx(brute_images(rows, cells, lambda x, y: x[1] % 3 == 1 and y[1] % 3 == 0))
+
+
+def test_totals_of_neighbours_are_those_of_their_rows(spark, small_blocks):
+    sites, structures, _, _ = periodic(spark)
+    sites = sites.select("struct_id", "site_id", (F.col("fx") * 3).alias("x"), (F.col("fy") * 5).alias("y"), F.when(F.col("site_id") != 7, F.col("fz") * 2).alias("z"))
+    sites = sites.union(sites.where("site_id = 3"))
+    want = {(r.struct_id, r.site_id): (r.n, pytest.approx(r.total)) for r in pairs.radius_neighbours(structures, sites, 2.0).groupBy("struct_id", "site_id").agg(F.count("*").alias("n"), F.sum("distance").alias("total")).collect()}
+    got = {(r.struct_id, r.site_id): (r.n, r.total) for r in pairs.radius_totals(structures, sites, 2.0).collect()}
+    assert len(got) > 30 and got == want
