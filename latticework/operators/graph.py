@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.aggregators import AGGREGATORS, COMBINERS
-from latticework.shared import written
+from latticework.shared import dealt, tasks_for, written
 
 
-def both_ways(edges: DataFrame, a: str = "i", b: str = "j", by: list[str] | None = None) -> DataFrame:
+def both_ways(edges: DataFrame, a: str = "i", b: str = "j", by: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """Edges and their opposites once each. tasks: they are dealt to as many by their first node."""
     by = by or []
-    return edges.select(*by, a, b).union(edges.select(*by, F.col(b).alias(a), F.col(a).alias(b))).distinct()
+    both = edges.select(*by, a, b).union(edges.select(*by, F.col(b).alias(a), F.col(a).alias(b)))
+    return (dealt(both, tasks, *by, a) if tasks else both).distinct()
 
 
 def walk_ends(edges: DataFrame, scope: int, by: list[str] | None = None, start: DataFrame | None = None) -> DataFrame:
@@ -133,12 +135,14 @@ def _spelled(label: str, n: str) -> Column:
     return F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(label, n))), lambda x: F.array_repeat(x.getField(label), x.getField(n)))), ",")
 
 
-def scaffold(edges: DataFrame, by: list[str]) -> DataFrame:
-    """The edges without those of nodes that have one neighbour."""
-    degree = edges.groupBy(*by, "i").agg(F.count("*").alias("degree"))
+def scaffold(edges: DataFrame, by: list[str], tasks: int | None = None) -> DataFrame:
+    """The edges without those of nodes that have one neighbour. tasks: as in both_ways(), whose dealing is kept."""
+    own = dealt(edges, tasks, *by, "i") if tasks else edges
+    degree = own.groupBy(*by, "i").agg(F.count("*").alias("degree"))
     leaf = degree.where("degree = 1").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("i").alias("_i"))
     on = lambda side: [F.col(c) == F.col(f"_{c}") for c in by] + [F.col(side) == F.col("_i")]
-    return edges.join(leaf, on("i"), "left_anti").join(leaf, on("j"), "left_anti")
+    left = own.join(leaf, on("i"), "left_anti")
+    return (dealt(left, tasks, *by, "j") if tasks else left).join(leaf, on("j"), "left_anti")
 
 
 def fragments(sites: DataFrame, edges: DataFrame) -> DataFrame:

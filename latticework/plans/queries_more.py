@@ -9,6 +9,7 @@ from latticework.operators import featurizers, graph, histogram, molecules, pair
 from latticework.plans import bench, metrics, splits
 from latticework.plans.queries_data import DIAGRAM, VECTORS, _diagrams, _edges, rounded, t
 from latticework.plans.queries_models import GROUP_BINS, LABEL, orders
+from latticework.shared import dealt, tasks_for
 from latticework.sources import datasets, force_field, text_tables
 
 Q: dict = {}
@@ -289,8 +290,10 @@ def metrics_of_folds(spark, sf):
 @query("""WITH e AS (SELECT DISTINCT l_orderkey AS g, l_linenumber AS a, 100 + l_partkey % 5 AS b FROM lineitem), x AS (SELECT g, a AS i, b AS j FROM e UNION SELECT g, b, a FROM e), l AS (SELECT g, i FROM x GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT x.g, count(*) AS n FROM x WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.g = x.g AND (l.i = x.i OR l.i = x.j)) GROUP BY 1""")
 def scaffold_edges(spark, sf):
-    own = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").cast("long").alias("i"), (100 + F.col("l_partkey") % 5).alias("j")).distinct()
-    return graph.scaffold(graph.both_ways(own, by=["g"]), ["g"]).groupBy("g").agg(F.count("*").alias("n"))
+    own = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").cast("long").alias("i"), (100 + F.col("l_partkey") % 5).alias("j"))
+    tasks = tasks_for(spark, 2 * own.count())
+    found = graph.scaffold(graph.both_ways(own, by=["g"], tasks=tasks), ["g"], tasks)
+    return dealt(found, tasks, "g").groupBy("g").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH v AS ({VECTORS}), p AS (SELECT a.label, a.e AS x, b.e AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id < 200 AND b.vec_id < 200),

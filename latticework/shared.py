@@ -28,6 +28,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task of dealt().
+TASK_ROWS = 1 << 20
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df dealt by keys before anything is aggregated or joined by them, into tasks that stay apart.
+
+    Sorted ids take few bytes, so that partitions merged and files read by their bytes hold more rows the more there are.
+    """
+    return df.repartition(tasks, *keys)
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """df with its rows numbered from 0 in a total order, without a window over all rows.
 

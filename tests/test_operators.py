@@ -163,3 +163,12 @@ def test_walk_values_by_classes(spark):
     over = {"sum": sum, "avg": np.mean, "max": max}
     lists = {c: [[f(a, b) for (k, a, b), n in want.items() if k == block for _ in range(n)] for block in (0, 1)] for c, f in of.items()}
     assert got == pytest.approx({(c, p, b): float(over[b]([over[p](x) for x in lists[c]])) for c in of for p in over for b in ("avg", "sum")})
+
+
+def test_dealt_scaffold_keeps_its_tasks(spark):
+    """A task's rows are told by the number of tasks: no partition is merged with another by its bytes."""
+    own = spark.range(4000).select((F.col("id") % 100).alias("g"), (F.col("id") % 7).alias("i"), (10 + F.col("id") % 9).alias("j"))
+    plain = graph.scaffold(graph.both_ways(own, by=["g"]), ["g"])
+    made = graph.scaffold(graph.both_ways(own, by=["g"], tasks=13), ["g"], 13)
+    assert sorted(made.collect()) == sorted(plain.collect())
+    assert made.rdd.getNumPartitions() == 13
