@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.functions.aggregators import AGGREGATORS, COMBINERS
-from latticework.shared import dealt, tasks_for, written
+from latticework.shared import dealt, written
 
 
 def both_ways(edges: DataFrame, a: str = "i", b: str = "j", by: list[str] | None = None, tasks: int | None = None) -> DataFrame:
@@ -87,22 +87,41 @@ def walk_values(edges: DataFrame, scope: int, start: DataFrame, ends: DataFrame)
     return all_.union(back).groupBy("block", F.col("v").alias("first"), F.col("w").alias("last")).agg(F.sum("n").alias("n")).where("n > 0")
 
 
+#: Rows of a task of components(), and of the hooks that are sent to all tasks.
+COMPONENT_ROWS, SENT_ROWS = 1 << 18, 1 << 19
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of edges (i, j): the smallest node that can be reached. Hooking and pointer jumping; logarithmically many rounds."""
-    left = written(edges.select(F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo")).where("hi <> lo").distinct(), "edges")
-    nodes = written(edges.select(F.col("i").alias("node")).union(edges.select("j")).where("node is not null").distinct().withColumn("component", F.col("node")), "nodes")
+    """(node, component) of edges (i, j): the smallest node that can be reached. Hooking and pointer jumping; logarithmically many rounds.
+
+    Rows are dealt by key to a number of tasks that grows with them, not by their bytes. Hooks that are few are sent to all tasks: when most nodes
+    have one root, what is asked for that root does not meet in one of them.
+    """
+    own = written(edges.select("i", "j"), "edges")
+    tasks = lambda df: -(-df.count() // COMPONENT_ROWS) or 1
+    left = own.select(F.greatest("i", "j").alias("hi"), F.least("i", "j").alias("lo")).where("hi <> lo")
+    nodes = own.select(F.col("i").alias("node")).union(own.select("j")).where("node is not null")
+    nodes = written(dealt(nodes, 2 * tasks(own), "node").distinct().withColumn("component", F.col("node")), "nodes")
+    n = tasks(own)
+
+    def met(df: DataFrame, key: str, right: DataFrame, other: str, few: bool, count: int) -> DataFrame:
+        x, y = (df, F.broadcast(right)) if few else (dealt(df, count, key), dealt(right, count, other))
+        return x.join(y, F.col(key) == F.col(other), "left")
+
     while not left.isEmpty():
-        up = written(left.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("root")), "hooks")
-        moved = True
+        up = written(dealt(left, n, "hi").groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("root")), "hooks")
+        many, moved = up.count(), True
+        few, some = many <= SENT_ROWS, -(-many // COMPONENT_ROWS) or 1
         while moved:
             over = up.select(F.col("id").alias("mid"), F.col("root").alias("top"))
-            jumped = written(up.join(over, F.col("root") == F.col("mid"), "left").select("id", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "jump")
+            jumped = written(met(up, "root", over, "mid", few, some).select("id", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "jump")
             moved, up = not jumped.where("moved").isEmpty(), jumped.select("id", "root")
         to = lambda c: up.select(F.col("id").alias(f"{c}_id"), F.col("root").alias(f"{c}_root"))
-        nodes = written(nodes.join(to("n"), F.col("component") == F.col("n_id"), "left").select("node", F.coalesce("n_root", "component").alias("component")), "nodes")
-        left = left.join(to("h"), F.col("hi") == F.col("h_id"), "left").join(to("l"), F.col("lo") == F.col("l_id"), "left")
+        nodes = written(met(nodes, "component", to("n"), "n_id", few, tasks(nodes)).select("node", F.coalesce("n_root", "component").alias("component")), "nodes")
+        left = met(met(left, "hi", to("h"), "h_id", few, n), "lo", to("l"), "l_id", few, n)
         x, y = F.coalesce("h_root", "hi"), F.coalesce("l_root", "lo")
-        left = written(left.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).where("hi <> lo").distinct(), "edges")
+        left = written(dealt(left.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).where("hi <> lo"), n, "hi", "lo").distinct(), "edges")
+        n = tasks(left)
     return nodes
 
 

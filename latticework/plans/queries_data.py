@@ -213,7 +213,7 @@ def connected_components(spark, sf):
 @query()
 def connected_components_all(spark, sf):
     """All of lineitem: orders and parts, parts as negative ids. Recursive SQL is too slow for it; a test follows the links instead."""
-    return graph.components(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("i"), (-1 - F.col("l_partkey")).alias("j")).distinct())
+    return graph.components(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("i"), (-1 - F.col("l_partkey")).alias("j")))
 
 
 @query("SELECT CAST(bin AS BIGINT) AS bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 20)) AS bin) g LEFT JOIN (SELECT CAST(least(floor(value / 10), 19) AS BIGINT) AS b, count(*) AS n FROM events WHERE value >= 0 AND value <= 200 GROUP BY 1) c ON g.bin = c.b")

@@ -172,3 +172,23 @@ def test_dealt_scaffold_keeps_its_tasks(spark):
     made = graph.scaffold(graph.both_ways(own, by=["g"], tasks=13), ["g"], 13)
     assert sorted(made.collect()) == sorted(plain.collect())
     assert made.rdd.getNumPartitions() == 13
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_components_in_many_tasks(spark, monkeypatch, sent):
+    """Repeated edges, loops, null ends and a hub, with joins by tasks and by hooks that are sent."""
+    monkeypatch.setattr(graph, "COMPONENT_ROWS", 40)
+    monkeypatch.setattr(graph, "SENT_ROWS", sent)
+    rng = np.random.default_rng(7)
+    bonds = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] * 2 + [(500, i) for i in range(400, 430)] + [(7, 7)]
+    want = {x: min(_reached(bonds, x)) for x in {x for b in bonds for x in b}} | {900: 900}
+    got = graph.components(spark.createDataFrame([*bonds, (900, None), (None, None)], "i long, j long")).collect()
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def _reached(bonds, x):
+    seen, new = {x}, {x}
+    while new:
+        new = {b for a, b in bonds + [(j, i) for i, j in bonds] if a in new} - seen
+        seen |= new
+    return seen
