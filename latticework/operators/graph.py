@@ -12,6 +12,10 @@ from latticework.functions.aggregators import AGGREGATORS, COMBINERS
 from latticework.shared import dealt, written
 
 
+#: Rows of a task of components(), and of the hooks or nodes that are sent to all tasks.
+COMPONENT_ROWS, SENT_ROWS = 1 << 18, 1 << 19
+
+
 def both_ways(edges: DataFrame, a: str = "i", b: str = "j", by: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """Edges and their opposites once each. tasks: they are dealt to as many by their first node."""
     by = by or []
@@ -32,23 +36,34 @@ def walk_ends(edges: DataFrame, scope: int, by: list[str] | None = None, start:
     return at.where("start <> end")
 
 
-def twins(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, class) and (a, b): nodes with the same neighbours are of one class, and the steps between classes. edges (i, j) go both ways and are distinct.
+def twins(edges: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(node, class) and (a, b): nodes with the same neighbours are of one class, and the steps between classes; how to join what has a row a class. edges (i, j) go both ways and are distinct.
 
     If one node of a class is bound to one of another, then all are to all, so that walks of classes are walks of their nodes. A hub's leaves are
-    one class. A class is told by 128 bits and the number of its neighbours.
+    one class. A class is told by 128 bits and the number of its neighbours. For the same reason the steps are the edges between one node of each class.
     """
     sign = edges.groupBy(F.col("i").alias("node")).agg(F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("j")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "j")).alias("y")).alias("class"))
     nodes = written(sign, "twins")
-    one = nodes.groupBy("class").agg(F.min("node").alias("one"))
-    met = edges.join(one, F.col("i") == F.col("one")).select(F.col("class").alias("a"), "j")
-    steps = met.join(nodes, F.col("j") == F.col("node")).select("a", F.col("class").alias("b")).distinct()
-    return nodes, written(steps, "steps")
+    one = written(nodes.groupBy("class").agg(F.min("node").alias("one")), "ones")
+    sent = F.broadcast if one.count() <= SENT_ROWS else _kept_apart
+    to = lambda c, side: sent(one.select(F.col("class").alias(c), F.col("one").alias(f"one_{side}")))
+    steps = edges.join(to("a", "i"), F.col("i") == F.col("one_i")).join(to("b", "j"), F.col("j") == F.col("one_j")).select("a", "b").distinct()
+    return nodes, written(steps, "steps"), sent
+
+
+def _kept_apart(df: DataFrame) -> DataFrame:
+    """df, which a join deals to tasks by its key. Sorted ids take so few bytes in a file that Spark would send a million of them to every task."""
+    return df.hint("merge")
 
 
-def class_walks(nodes: DataFrame, steps: DataFrame, start: DataFrame, scope: int) -> list[DataFrame]:
-    """(first, last) for each number of bonds up to scope: the classes of the ends of walks from the classes of start (start)."""
-    at = start.join(nodes, F.col("start") == F.col("node")).select(F.col("class").alias("first"), F.col("class").alias("last")).distinct()
+def classed(df: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
+    """df with the class of its nodes, written."""
+    return written(df.join(_kept_apart(nodes), F.col(key) == F.col("node")).drop("node"), "classed")
+
+
+def class_walks(steps: DataFrame, start: DataFrame, scope: int) -> list[DataFrame]:
+    """(first, last) for each number of bonds up to scope: the classes of the ends of walks from the classes of start (class)."""
+    at = start.select(F.col("class").alias("first"), F.col("class").alias("last")).distinct()
     out = []
     for _ in range(scope):
         at = written(at.join(steps, F.col("last") == F.col("a")).select("first", F.col("b").alias("last")).distinct(), "walks")
@@ -61,13 +76,13 @@ def walk_counts(edges: DataFrame, scope: int, start: DataFrame) -> DataFrame:
 
     Ends are counted by classes of nodes with the same neighbours: a hub is one step and not one for each two of its leaves.
     """
-    nodes, steps = twins(edges)
+    nodes, steps, sent = twins(edges)
     size = nodes.groupBy(F.col("class").alias("sized")).agg(F.count("*").alias("size"))
-    own = start.join(nodes, F.col("start") == F.col("node")).select("start", F.col("class").alias("mine"))
+    own = classed(start.select("start"), "start", nodes).withColumnRenamed("class", "mine")
     outs = []
-    for n, walks in enumerate(class_walks(nodes, steps, start, scope), 1):
+    for n, walks in enumerate(class_walks(steps, own.select(F.col("mine").alias("class")), scope), 1):
         many = walks.join(size, F.col("last") == F.col("sized")).groupBy("first").agg((F.sum("size") - F.max((F.col("first") == F.col("last")).cast("int"))).alias("n")).where("n > 0")
-        outs.append(own.join(many, F.col("mine") == F.col("first")).select(F.lit(n).alias("scope"), "start", "n"))
+        outs.append(own.join(sent(many), F.col("mine") == F.col("first")).select(F.lit(n).alias("scope"), "start", "n"))
     return reduce(DataFrame.union, outs)
 
 
@@ -76,21 +91,18 @@ def walk_values(edges: DataFrame, scope: int, start: DataFrame, ends: DataFrame)
 
     start: (block, start, value) and ends: (node, value), with one value a node; walks back to the start don't count. Nodes of a class with equal values are counted together.
     """
-    nodes, steps = twins(edges)
-    walks = class_walks(nodes, steps, start.select("start").distinct(), scope)[-1]
-    mine = start.join(nodes, F.col("start") == F.col("node")).select("start", "block", F.col("value").alias("v"), F.col("class").alias("c"))
-    its = ends.withColumnRenamed("node", "end").join(nodes, F.col("end") == F.col("node")).select("end", F.col("value").alias("w"), F.col("class").alias("d"))
+    nodes, steps, _ = twins(edges)
+    mine = classed(start.select("start", "block", F.col("value").alias("v")), "start", nodes)
+    its = classed(ends.select(F.col("node").alias("end"), F.col("value").alias("w")), "end", nodes).withColumnRenamed("class", "d")
+    walks = class_walks(steps, mine, scope)[-1]
+    mine = mine.withColumnRenamed("class", "c")
     a, b = mine.groupBy("block", "v", "c").agg(F.count("*").alias("n")), its.groupBy("w", "d").agg(F.count("*").alias("m"))
     all_ = walks.join(a, F.col("first") == F.col("c")).join(b, F.col("last") == F.col("d")).select("block", "v", "w", (F.col("n") * F.col("m")).alias("n"))
     back = walks.where(F.col("first") == F.col("last")).select(F.col("first").alias("same"))
-    back = mine.join(its, F.col("start") == F.col("end")).join(back, F.col("c") == F.col("same")).select("block", "v", "w", F.lit(-1).cast("long").alias("n"))
+    back = mine.join(_kept_apart(its), F.col("start") == F.col("end")).join(back, F.col("c") == F.col("same")).select("block", "v", "w", F.lit(-1).cast("long").alias("n"))
     return all_.union(back).groupBy("block", F.col("v").alias("first"), F.col("w").alias("last")).agg(F.sum("n").alias("n")).where("n > 0")
 
 
-#: Rows of a task of components(), and of the hooks that are sent to all tasks.
-COMPONENT_ROWS, SENT_ROWS = 1 << 18, 1 << 19
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (i, j): the smallest node that can be reached. Hooking and pointer jumping; logarithmically many rounds.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.aggregators import COMBINERS, NAMES, aggregate, combine
 from latticework.operators import graph, groupwise, histogram, pairs, relational, topology
+from latticework.shared import written
 
 Q: dict = {}
 S: dict = {}
@@ -174,7 +175,7 @@ def _edges(spark, sf, where: str = "true"):
 @query(f"""WITH {EDGES}, s AS (SELECT DISTINCT i AS s FROM e WHERE i >= 2000000), w1 AS (SELECT DISTINCT s, j FROM s JOIN e ON s = i), w2 AS (SELECT DISTINCT s, e.j FROM w1 JOIN e ON w1.j = e.i), w3 AS (SELECT DISTINCT s, e.j FROM w2 JOIN e ON w2.j = e.i)
 SELECT 1 AS scope, s AS start, count(*) AS n FROM w1 WHERE s <> j GROUP BY s UNION ALL SELECT 2, s, count(*) FROM w2 WHERE s <> j GROUP BY s UNION ALL SELECT 3, s, count(*) FROM w3 WHERE s <> j GROUP BY s""")
 def graph_walk_neighbours(spark, sf):
-    edges = _edges(spark, sf)
+    edges = written(_edges(spark, sf), "edges")
     start = edges.where("i >= 2000000").select(F.col("i").alias("start")).distinct()
     return graph.walk_counts(edges, 3, start)
 
@@ -185,7 +186,7 @@ b AS (SELECT block, 'product' AS combiner, CAST(sum(p) AS DOUBLE) AS s, avg(p) A
 SELECT combiner, pair_agg, block_agg, round(v, 4) AS value FROM (SELECT combiner, 'sum' AS pair_agg, 'avg' AS block_agg, avg(s) AS v FROM b GROUP BY 1 UNION ALL SELECT combiner, 'sum', 'sum', sum(s) FROM b GROUP BY 1
 UNION ALL SELECT combiner, 'avg', 'avg', avg(a) FROM b GROUP BY 1 UNION ALL SELECT combiner, 'avg', 'sum', sum(a) FROM b GROUP BY 1)""")
 def rac_nested_agg(spark, sf):
-    edges = _edges(spark, sf)
+    edges = written(_edges(spark, sf), "edges")
     value = (F.col("i") % 11).alias("value")
     start = edges.where("i >= 2000000").select((F.col("i") % 3).alias("block"), F.col("i").alias("start"), value).distinct()
     ends = edges.where("i < 1000000").select(F.col("i").alias("node"), value).distinct()

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -165,6 +167,26 @@ def test_walk_values_by_classes(spark):
     assert got == pytest.approx({(c, p, b): float(over[b]([over[p](x) for x in lists[c]])) for c in of for p in over for b in ("avg", "sum")})
 
 
+@pytest.mark.parametrize("sent", [1 << 19, 0])
+def test_nodes_of_walks_are_not_sent_to_all_tasks(spark, monkeypatch, sent):
+    """However few bytes the nodes of a hub take in a file, joins deal them by their key."""
+    plans, keep = [], graph.written
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(graph, "written", lambda df, label: seen(df) or keep(df, label))
+    monkeypatch.setattr(graph, "SENT_ROWS", sent)
+    bonds = random_graph()
+    edges = keep(graph.both_ways(spark.createDataFrame(bonds, "i long, j long")), "edges")
+    node = edges.select(F.col("i").alias("node")).distinct()
+    start = node.select(F.col("node").alias("start"))
+    counts = graph.walk_counts(edges, 2, start)
+    values = graph.walk_values(edges, 2, start.select(F.lit(0).alias("block"), "start", F.lit(0).alias("value")), node.withColumn("value", F.lit(1)))
+    seen(counts), seen(values)
+    assert not [x for p in plans for x in p.splitlines() if "BroadcastHashJoin" in x and re.search(r"\b(node|end)#", x)]
+    want = {x: len(at) for x, at in ends_of(bonds, 2).items() if at}
+    assert {r.start: r.n for r in counts.where("scope = 2").collect()} == want
+    assert [(r.first, r.last, r.n) for r in values.collect()] == [(0, 1, sum(want.values()))]
+
+
 def test_dealt_scaffold_keeps_its_tasks(spark):
     """A task's rows are told by the number of tasks: no partition is merged with another by its bytes."""
     own = spark.range(4000).select((F.col("id") % 100).alias("g"), (F.col("id") % 7).alias("i"), (10 + F.col("id") % 9).alias("j"))
