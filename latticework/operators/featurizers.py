@@ -97,7 +97,8 @@ def _weighted(structures: DataFrame, sites: DataFrame, key: str, properties: Dat
     cell = structures.select(F.col("struct_id").alias("__s"), F.flatten("lattice").alias("__c"))
     own = sites.join(values, F.col("symbol") == F.col("__y")).join(cell, F.col("struct_id") == F.col("__s")).withColumn("__x", F.concat(F.array("fx", "fy", "fz"), "__c"))
     within, of = role is None, [f"__p{i}" for i in range(len(names))]
-    limits, steps = tiles.near_limits(cutoff, lower), tiles.near_steps(lower, width)
+    # The lower limit is a step too.
+    limits, steps = tiles.near_limits(cutoff), tiles.near_steps(lower, width)
 
     def fold(a: tiles.Block, b: tiles.Block, same: bool) -> dict:
         sums, count = np.zeros((len(names) * len(combiners), n)), np.zeros(n, np.int64)

@@ -195,8 +195,10 @@ def near_limits(*limits: float) -> Callable[[np.ndarray], np.ndarray]:
 
 def near_steps(low: float, width: float) -> Callable[[np.ndarray], np.ndarray]:
     def near(d: np.ndarray) -> np.ndarray:
-        q = (d - low) / width
-        return np.abs(q - np.rint(q)) < NEAR * (1 + 1 / width)
+        q = d - low
+        q /= width
+        q -= np.rint(q)
+        return np.abs(q, out=q) < NEAR * (1 + 1 / width)
 
     return near
 
@@ -224,6 +226,12 @@ class Images:
     def __init__(self, x: np.ndarray, y: np.ndarray, cell: np.ndarray):
         self.x, self.y, self.cell = x, y, cell
         self.all = [(float(i), float(j), float(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+        # Vectors at right angles: the nearest image is that of each of them by itself.
+        gram = cell @ cell.T
+        self.sides = np.sqrt(np.diag(gram)) if not (gram - np.diag(np.diag(gram))).any() else None
+        if self.sides is not None:
+            self.p, self.q = x, np.ascontiguousarray(y.T)
+            return
         # An image and its opposite differ in the sign of one product, so that half of them are enough.
         shifts = np.array(self.all[14:]) @ cell
         centre = np.concatenate([x, y]).mean(axis=0)
@@ -248,6 +256,14 @@ class Images:
     def between(self, rows: slice, cols: slice, near: Callable[[np.ndarray], np.ndarray] | None) -> np.ndarray:
         out = np.zeros((rows.stop - rows.start, cols.stop - cols.start))
         w = np.empty_like(out)
+        if self.sides is not None:
+            v = np.empty_like(out)
+            for c, side in enumerate(self.sides):
+                np.abs(np.subtract(self.p[rows, c, None], self.q[None, c, cols], out=w), out=w)
+                np.minimum(w, np.abs(np.subtract(w, 1, out=v), out=v), out=w)
+                w *= side
+                out += np.multiply(w, w, out=w)
+            return repaired(np.sqrt(out, out=out), self, rows, cols, None, near)
         for s, p, q in zip(self.s2, self.ps, self.qs):
             np.subtract(p[rows, None], q[None, cols], out=w)
             np.abs(w, out=w)

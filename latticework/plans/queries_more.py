@@ -353,7 +353,7 @@ d AS (SELECT a.s, min(sqrt(power((b.e[1] - a.e[1] + p.n) * 4, 2) + power((b.e[2]
 w AS (SELECT s, least(floor((d - 0.2) / 0.25), 10) AS bin, d FROM d WHERE d < 3.0 AND d > 0.2) SELECT CAST(s AS VARCHAR) AS struct_id, 'aprdf_X_product_' || CAST(bin AS INTEGER) AS feature, round(sum(6 * exp(-10 * power(d - (0.2 + bin * (2.8 / 10)), 2))), 6) AS value FROM w GROUP BY 1, 2""")
 def guest_aprdf(spark, sf):
     e = F.col("embedding")
-    roles = t(spark, sf, "embeddings").select((F.col("vec_id") % 50).cast("string").alias("struct_id"), F.when(F.col("label") == 0, "guest").otherwise("host").alias("role"), F.when(F.col("label") == 0, "A").otherwise("B").alias("symbol"), *[e[i].cast("double").alias(n) for i, n in enumerate(("fx", "fy", "fz"))])
+    roles = t(spark, sf, "embeddings").select((F.col("vec_id") % 50).cast("string").alias("struct_id"), F.when(F.col("label") == 0, "guest").when(F.col("label") != 0, "host").alias("role"), F.when(F.col("label") == 0, "A").otherwise("B").alias("symbol"), *[F.get(e, i).cast("double").alias(n) for i, n in enumerate(("fx", "fy", "fz"))])
     cell = F.array(*[F.array(*[F.lit(4.0 if i == j else 0.0) for j in range(3)]) for i in range(3)])
     structures = roles.select("struct_id").distinct().withColumn("lattice", cell)
     made = featurizers.guest_aprdf(structures, roles, spark.createDataFrame([("A", 2.0), ("B", 3.0)], "symbol string, X double"), ("X",), ("product",), 3.0, 0.2, 0.25, 10.0)

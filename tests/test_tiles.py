@@ -3,10 +3,12 @@
 import math
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from latticework.operators import featurizers, pairs, tiles
 
 
@@ -132,6 +134,32 @@ def test_nearest_images_of_guests_and_hosts(spark, small_blocks):
     assert got == pytest.approx(brute_images(rows, cells, lambda x, y: x[1] % 3 == 1 and y[1] % 3 == 0))
 
 
+def test_nearest_images_far_from_a_cell_at_right_angles():
+    """Positions far outside differ by what they differ, however large they are; a turned cell has right angles too."""
+    rng = np.random.default_rng(7)
+    far = np.array([[3e8, -2e8, 0], [0, 0, 1e7]])[rng.integers(0, 2, 40)]
+    x, y = rng.uniform(-0.5, 0.5, (40, 3)), rng.uniform(-0.5, 0.5, (30, 3))
+    x, y = x + far, y + far[:30]
+    for cell in (np.diag([4.0, 3.0, 0.7]), np.array([[3.0, 4.0, 0.0], [-4.0, 3.0, 0.0], [0.0, 0.0, 2.0]])):
+        near = tiles.Images(x, y, cell)
+        i, j = np.meshgrid(np.arange(40), np.arange(30), indexing="ij")
+        assert near.between(slice(0, 40), slice(0, 30), None).ravel() == pytest.approx(near.exact(i.ravel(), j.ravel()), rel=1e-12, abs=1e-12)
+
+
+def test_odd_rows_of_guests_and_hosts_as_in_sql(spark, tmp_path):
+    """Rows with no label have no role; those with fewer numbers than a position has, or odd ones, have no distance."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(scale=0.2, size=4)], int(i % 3)) for i in range(600)]
+    rows += [(600, [0.1] * 4, None), (650, [0.1, 0.2], 0), (700, [], 1), (750, None, 0), (800, [math.nan] * 4, 1), (850, [math.inf] * 4, 0), (900, [0.1, None, 0.1, 0.1], 1)]
+    rows += [(950 + 50 * i, [1e8, float(np.float32(i / 7)), 0.25, 0.0], i % 2) for i in range(6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got = {(r.struct_id, r.feature): r.value for r in entry.queries()["guest_aprdf"](spark, str(tmp_path)).collect()}
+    want = {(s, f): v for s, f, v in con.execute(entry.oracle_sql()["guest_aprdf"]).fetchall()}
+    assert len(want) > 200 and got == pytest.approx(want, abs=1.1e-6)
+
+
 def test_totals_of_neighbours_are_those_of_their_rows(spark, small_blocks):
     sites, structures, _, _ = periodic(spark)
     sites = sites.select("struct_id", "site_id", (F.col("fx") * 3).alias("x"), (F.col("fy") * 5).alias("y"), F.when(F.col("site_id") != 7, F.col("fz") * 2).alias("z"))
